@@ -1,2 +1,34 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the text operators, with their SQL where there is any."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.llm import packing, tokenizing
+from graphloom.sources.tables import table
+
+
+def p8_ids(spark, d):
+    return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_round_trip(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    back = tokenizing.decode_documents(tokenizing.encode_documents(docs)).select(F.col("doc_id").alias("id"), F.col("text").alias("decoded"))
+    same = docs.join(back, F.col("doc_id") == F.col("id")).select(F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("same"))
+    return same.groupBy("same").agg(F.count("*").alias("n_docs"))
+
+
+def p9_pack(spark, d):
+    return packing.pack_documents(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "containers"))
+
+
+def p9_fill(spark, d):
+    return packing.packing_report(p9_pack(spark, d), table(spark, d, "containers"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_pack, p9_fill)}
+
+ORACLES = {
+    "p8_round_trip": "SELECT true AS same, count(*) AS n_docs FROM documents HAVING count(*) > 0",
+}
