@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, tokenizing
+from graphloom.llm import packing, spans, tokenizing
 from graphloom.sources.tables import table
 
 
@@ -27,7 +27,16 @@ def p9_fill(spark, d):
     return packing.packing_report(p9_pack(spark, d), table(spark, d, "containers"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_pack, p9_fill)}
+def p10_found(spark, d):
+    return spans.shared_passages(table(spark, d, "documents", "doc_id", "text")).filter("size(a_runs) > 0").select("doc_a", "doc_b")
+
+
+def p10_share(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return spans.shared_share(docs, spans.shared_passages(docs))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
 
 ORACLES = {
     "p8_round_trip": "SELECT true AS same, count(*) AS n_docs FROM documents HAVING count(*) > 0",
