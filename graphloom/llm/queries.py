@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, spans, tokenizing
+from graphloom.llm import docpairs, packing, spans, tokenizing
 from graphloom.sources.tables import table
 
 
+def p7_pairs(spark, d):
+    nodes = table(spark, d, "nodes", "id", "type", "name", "file_path", "line_start", "line_end", "documentation")
+    return docpairs.documented_functions(nodes, table(spark, d, "sources", "path", "text"))
+
+
+def p7_found(spark, d):
+    return p7_pairs(spark, d).select("node_id").distinct()
+
+
 def p8_ids(spark, d):
     return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
 
@@ -36,8 +45,25 @@ def p10_share(spark, d):
     return spans.shared_share(docs, spans.shared_passages(docs))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
+
+_TELLING = r"""
+WITH docs AS (
+  SELECT id, name, file_path, line_start, line_end, json_extract_string(documentation, '$.description') AS description
+  FROM (SELECT * FROM nodes WHERE type = 'function' AND json_valid(documentation)) v
+  WHERE json_type(documentation, '$.version') IN ('UBIGINT', 'BIGINT') AND json_extract_string(documentation, '$.version') = '1'),
+worded AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(description), '[\p{L}\p{N}]+')) AS dw,
+    list_concat(regexp_extract_all(lower(name), '[\p{L}\p{N}]+'), regexp_extract_all(lower(regexp_replace(name, '([A-Z])', ' \1', 'g')), '[\p{L}\p{N}]+')) AS nw
+  FROM docs WHERE description IS NOT NULL),
+lined AS (SELECT path, any_value(string_split(text, chr(10))) AS lines FROM sources WHERE text IS NOT NULL GROUP BY path),
+found AS (
+  SELECT DISTINCT w.id AS node_id, w.name, w.description, array_to_string(l.lines[w.line_start:w.line_end], chr(10)) AS code
+  FROM worded w JOIN lined l ON l.path = w.file_path
+  WHERE len(list_filter(dw, lambda x: NOT list_contains(nw, x))) >= 3 AND line_start >= 1 AND line_start <= line_end AND line_end <= len(l.lines))
+"""
 
 ORACLES = {
+    "p7_found": f"{_TELLING} SELECT DISTINCT node_id FROM found",
     "p8_round_trip": "SELECT true AS same, count(*) AS n_docs FROM documents HAVING count(*) > 0",
 }
