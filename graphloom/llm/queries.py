@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import docpairs, packing, spans, tokenizing
+from graphloom.llm import docpairs, packing, spans, syntax, tokenizing
 from graphloom.sources.tables import table
 
 
+def p1_found(spark, d):
+    return syntax.syntax_errors(table(spark, d, "sources")).filter("not valid").select("path").distinct()
+
+
+def p1_rates(spark, d):
+    return syntax.error_rates(syntax.syntax_errors(table(spark, d, "sources")))
+
+
+def p1_unreliable(spark, d):
+    return syntax.unreliable_notes(syntax.syntax_errors(table(spark, d, "sources")), table(spark, d, "files"))
+
+
 def p7_pairs(spark, d):
     nodes = table(spark, d, "nodes", "id", "type", "name", "file_path", "line_start", "line_end", "documentation")
     return docpairs.documented_functions(nodes, table(spark, d, "sources", "path", "text"))
@@ -45,7 +57,7 @@ def p10_share(spark, d):
     return spans.shared_share(docs, spans.shared_passages(docs))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_unreliable, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
 
 _TELLING = r"""
 WITH docs AS (
