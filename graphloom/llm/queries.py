@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import docpairs, packing, spans, syntax, tokenizing
+from graphloom.llm import docpairs, handwritten, packing, spans, syntax, tokenizing
 from graphloom.sources.tables import table
 
 
@@ -20,6 +20,15 @@ def p1_unreliable(spark, d):
     return syntax.unreliable_notes(syntax.syntax_errors(table(spark, d, "sources")), table(spark, d, "files"))
 
 
+def p4_found(spark, d):
+    return handwritten.not_handwritten(table(spark, d, "sources")).select("path")
+
+
+def p4_reasons(spark, d):
+    found = handwritten.not_handwritten(table(spark, d, "sources"))
+    return found.groupBy(syntax.repository(F.col("path")).alias("repository"), "reason").agg(F.count("*").alias("n_files"))
+
+
 def p7_pairs(spark, d):
     nodes = table(spark, d, "nodes", "id", "type", "name", "file_path", "line_start", "line_end", "documentation")
     return docpairs.documented_functions(nodes, table(spark, d, "sources", "path", "text"))
@@ -57,7 +66,7 @@ def p10_share(spark, d):
     return spans.shared_share(docs, spans.shared_passages(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_unreliable, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_unreliable, p4_found, p4_reasons, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
 
 _TELLING = r"""
 WITH docs AS (
