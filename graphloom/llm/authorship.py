@@ -25,6 +25,8 @@ _MADE = re.compile(
     r"|\b(?:arquivo|ficheiro|file) (?:gerado|generato|prodotto) (?:por|da|automaticamente)\b|\bnon modificare\b|\bnão (?:editar|edite|modifique)\b|\bniet (?:handmatig )?bewerken\b",
     re.IGNORECASE | re.MULTILINE,
 )
+#: What compilers and bundlers leave in their output.
+_RUNTIME = re.compile(r"Object\.defineProperty\(exports,\s*[\"']__esModule[\"'][\s\S]*\bthis\s*&&\s*this\.__\w+|\b__webpack_require__\b|\b_interopRequire(?:Default|Wildcard)\b|^//[#@]\s*sourceMappingURL=", re.MULTILINE)
 _LICENCE = re.compile(r"\blicen[cs]ed?\b|\bcopyright\b|\(c\)|©", re.IGNORECASE)
 _VERSION = re.compile(r"\bv?\d+\.\d+\.\d+\b")
 _MADE_PATH = re.compile(r"/(?:__generated__|generated|gen|autogen|codegen)/|\.(?:generated|gen|g|pb|autogen)\.[A-Za-z]+$|_pb2?(?:_grpc)?\.[A-Za-z]+$|\.d\.ts$", re.IGNORECASE)
@@ -118,6 +120,8 @@ def signs(path: str, text: str, code: list[str], head: str) -> tuple[str | None,
         return "minified", third
     if _data(code):
         return "data", third
+    if _RUNTIME.search(text):
+        return "generated", third
     if _MADE_PATH.search(path) and _regular(text) >= 0.5:
         return "generated", third
     if _ALWAYS_THIRD.search(path) or third:
