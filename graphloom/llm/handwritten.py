@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.authorship import signs, token_hashes, tokens
 from graphloom.llm.batches import slices
 from graphloom.llm.rolling import gram_hashes, winnow
-from graphloom.llm.syntax import extension, first_error, repository
+from graphloom.llm.syntax import extension, first_error, repository, syntax_errors
 from graphloom.workspace import Scratch
 
 CODE = ("ts", "tsx", "js", "mjs", "py")
@@ -22,8 +22,8 @@ def fingerprints(sources: DataFrame, k: int = 16, window: int = 24) -> DataFrame
     Columns: path, own (why the text itself shows a tool or third party, else null),
     hint boolean, marks array<bigint>. Marks are hashes of k normalized tokens
     (comments, layout, quotes and separators removed), chosen by winnowing; a file
-    of fewer tokens than a window has its least hash, one of fewer than k none. A
-    file that does not parse gives no row.
+    of fewer tokens than a window has its least hash, one of fewer than k none. Files
+    with a sign are parsed, and those that do not parse give no row.
     """
     rows = sources.select("path", "text").filter(F.col("text").isNotNull() & extension(F.col("path")).isin(list(CODE)))
 
@@ -34,10 +34,10 @@ def fingerprints(sources: DataFrame, k: int = 16, window: int = 24) -> DataFrame
         for part in slices(batches, "text"):
             kept, own, hint, streams = [], [], [], []
             for n, (path, text) in enumerate(zip(part.column("path").to_pylist(), part.column("text").to_pylist())):
-                if first_error(path, text):
-                    continue
                 code, head = tokens(text)
                 why, third = signs(path, text, code, head)
+                if why and first_error(path, text):
+                    continue
                 kept.append(n)
                 own.append(why)
                 hint.append(third)
@@ -84,4 +84,8 @@ def not_handwritten(sources: DataFrame, share: float = 0.6, repositories: int =
     scored = files.select("path", "own", "hint", F.size("marks").alias("size"), F.xxhash64("path").alias("f")).join(common, F.col("f") == F.col("file"), "left")
     recurs = (F.col("many") >= F.col("size") * share) | (F.col("hint") & (F.col("two") >= F.col("size") * share))
     reason = F.when(F.col("own").isin("generated", "minified", "data"), F.col("own")).when(F.coalesce(recurs & (F.col("size") > 0), F.lit(False)), "vendored").otherwise(F.col("own"))
-    return scored.select("path", reason.alias("reason")).filter("reason is not null").groupBy("path").agg(F.min("reason").alias("reason"))
+    found = scratch.save(scored.select("path", reason.alias("reason"), F.col("own").isNotNull().alias("parsed")).filter("reason is not null"), "found")
+    # only recurrence speaks against the rest; what of it does not parse is no case
+    suspects = sources.select("path", "text").join(found.filter("not parsed").select("path"), "path", "left_semi")
+    whole = syntax_errors(suspects).filter("valid").select("path").distinct().withColumn("reason", F.lit("vendored"))
+    return found.filter("parsed").select("path", "reason").unionByName(whole)
