@@ -61,11 +61,11 @@ class WordEncoder:
     a word exactly if no neighbouring two of them would have merged otherwise.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 2_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 2_000, longest: int = 64) -> None:
         model = json.load(open(vocabulary))["model"]
         ids, byte = model["vocab"], _bytes_of_symbols()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.keep, self.chunk = keep, chunk
+        self.keep, self.chunk, self.longest = keep, chunk, longest
         self.ids: dict[str, tuple[int, ...]] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
@@ -82,12 +82,41 @@ class WordEncoder:
         self._db.execute("CREATE TABLE merges AS SELECT * FROM given")
 
     def merge(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The tokens of each word by the recursive query."""
+        """The tokens of each word; of long ones from pieces, joined where that is provably the same."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[tuple[int, ...]] = [()] * len(raw)
+        short = [i for i, r in enumerate(raw) if len(r) <= self.longest]
+        for i, tokens in zip(short, self.contract([raw[i] for i in short])):
+            out[i] = tokens
+        for i, r in enumerate(raw):
+            if len(r) > self.longest:
+                out[i] = self._stitched(r)
+        return out
+
+    def _stitched(self, raw: bytes) -> tuple[int, ...]:
+        """A long word, from pieces whose seams are encoded again until they hold."""
+        pieces = self.contract([raw[at : at + self.longest] for at in range(0, len(raw), self.longest)])
+        out, of = list(pieces[0]), self.token_bytes
+        for piece in pieces[1:]:
+            k = 0
+            while True:
+                left, right = out[: len(out) - k], list(piece[k:])
+                middle = list(self.contract([b"".join(of[t] for t in [*out[len(out) - k :], *piece[:k]])])[0]) if k else []
+                whole = [*left[-1:], *middle, *right[:1]]
+                if all(self._stay_apart(a, b) for a, b in zip(whole, whole[1:])):
+                    out[len(out) - k :] = [*middle, *right]
+                    break
+                k = min(max(4, 2 * k), max(len(out), len(piece)))
+        return tuple(out)
+
+    def contract(self, raw: list[bytes]) -> list[tuple[int, ...]]:
+        """The tokens of each byte string by the recursive query."""
+        words = raw
         out: list[tuple[int, ...]] = [()] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of one length need about as many rounds
         for at in range(0, len(order), self.chunk):
             some = order[at : at + self.chunk]
-            raw = [words[i].encode("utf-8", "surrogatepass") for i in some]
+            raw = [words[i] for i in some]
             sizes = np.array([len(r) for r in raw])
             wid = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             pos = np.arange(len(wid), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
