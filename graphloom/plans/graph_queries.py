@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import file_group, group_ordinal, impact_flags
-from graphloom.operators import audit, freshness, ingest, legacy, resolve, search, stats, traverse, update
+from graphloom.operators import audit, freshness, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans.star import STAR_SQL, star_edges, star_nodes
 from graphloom.sources.tables import table
@@ -287,6 +287,19 @@ def import_resolution(spark, d):
     return ingest.resolve_imports(text.select(F.col("path").alias("importer"), spec.alias("specifier")), files)
 
 
+def ingest_nodes(spark, d):
+    texts = table(spark, d, "sources", "path", "text")
+    return scan.scan(texts, _configs(texts))[0]
+
+
+def ingest_edges(spark, d):
+    return scan.scan(table(spark, d, "sources", "path", "text"))[1]
+
+
+def stale_symbols(spark, d):
+    return scan.stale_symbols(_nodes(spark, d), table(spark, d, "sources", "path", "text"))
+
+
 def legacy_ids(spark, d):
     n = table(spark, d, "nodes", "id", "type", "name", "file_path").distinct()
     raw = F.when(F.col("type") == "function", F.regexp_replace("id", "^function:", "func:")).when(F.col("type") == "file", F.concat(F.lit("file:"), F.col("id"))).when(F.col("type") == "field", F.col("name")).otherwise(F.col("id"))
@@ -332,7 +345,7 @@ QUERIES |= {
     for f in (
         path_shortest, path_labels, inspect, resolve_exact, resolve_partial, resolve_type_name, stats_totals, stats_nodes_by_type, stats_edges_by_type, stats_bars, stats_top_imported, stats_largest_files, stats_packages, tag_distribution, files_counts, files_pattern,
         search_like, search_fts, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_buckets, impact_tests, orphan_edges, duplicate_nodes, missing_files, documentation_audit, stale_files, freshness_block, update_counters,
-        delete_files, node_counts_per_file, placeholders, dedup_edges, canonical_edges, call_resolution, custom_edges_same_file, custom_edges_imported, custom_edges_all, package_owner, batch_plan, import_resolution, legacy_ids, legacy_fix_counts, legacy_edge_dedup, legacy_complexity, legacy_tested_by, legacy_import_recovery,
+        delete_files, node_counts_per_file, placeholders, dedup_edges, canonical_edges, call_resolution, custom_edges_same_file, custom_edges_imported, custom_edges_all, package_owner, batch_plan, import_resolution, ingest_nodes, ingest_edges, stale_symbols, legacy_ids, legacy_fix_counts, legacy_edge_dedup, legacy_complexity, legacy_tested_by, legacy_import_recovery,
     )
 }
 
