@@ -65,7 +65,7 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     mid = F.array().cast(f"array<{key}>") if with_paths else F.lit(None).cast(f"array<{key}>")
     live = base.select("c", "p", F.lit(1).alias("d"), mid.alias("mid"))
     records: list[tuple[str, DataFrame]] = []
-    step, loops = 0, None
+    step, loops, kept = 0, None, None
     while True:
         step += 1
         parents = live.select(F.col("p").alias("q")).distinct()
@@ -86,7 +86,9 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         joined = F.concat("mid", F.array("c"), "o.mid") if with_paths else F.lit(None).cast(f"array<{key}>")
         spliced = out.select(F.col("o.c").alias("c"), "p", (F.col("d") + F.col("o.d")).alias("d"), joined.alias("mid"))
         live = seen.filter("not chosen").select("c", "p", "d", "mid").join(spliced.select(F.col("c").alias("x")), F.col("c") == F.col("x"), "left_anti").unionByName(spliced)
-        live = scratch.save(live, "live")
+        older, kept = kept, scratch.save(live, "live")
+        scratch.drop(older)
+        live = kept
     path = F.array("c") if with_paths else F.lit(None).cast(f"array<{key}>")
     done = scratch.save(loops.select("c", F.col("c").alias("root"), F.lit(-1).alias("depth"), F.lit(True).alias("loop"), path.alias("path")), "done")
     for kind, rec in reversed(records):
@@ -107,7 +109,8 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         if rec is records[0][1]:
             done = done.unionByName(found)
         else:
-            done = scratch.save(done.unionByName(found), "done")
+            older, done = done, scratch.save(done.unionByName(found), "done")
+            scratch.drop(older)
     named = base.select("type", F.col("child").alias("node_id"), "c").join(done, "c")
     names = base.select(F.col("p").alias("k"), F.col("parent").alias("name")).distinct()
     tops = named.filter("depth >= 0").join(names, F.col("root") == F.col("k"))
