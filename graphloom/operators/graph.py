@@ -39,7 +39,7 @@ def clean_edges(edges: DataFrame) -> DataFrame:
 
 
 def fold(text: Column) -> Column:
-    """Lower case of ASCII letters only, as the reference's engine compares names."""
+    """Lower case of ASCII letters only, as SQLite compares names."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -32,8 +32,7 @@ def dependencies(nodes: DataFrame, edges: DataFrame, root: str, downstream: bool
 
     All simple paths of at most depth edges over edges with both ends. Downstream a
     path never meets a node again. Upstream the guard of a path lags by one node, so
-    a self-loop met at the second hop or later is taken once more; that is the
-    reference's defined result. An unknown root gives an empty result.
+    a self-loop met at the second hop or later is taken once more, by definition. An unknown root gives an empty result.
     """
     live = live_edges(nodes, edges, from_package, to_package)
     near, far = ("source", "target") if downstream else ("target", "source")
