@@ -29,7 +29,7 @@ _MADE = re.compile(
 _RUNTIME = re.compile(r"Object\.defineProperty\(exports,\s*[\"']__esModule[\"'][\s\S]*\bthis\s*&&\s*this\.__\w+|\b__webpack_require__\b|\b_interopRequire(?:Default|Wildcard)\b|^//[#@]\s*sourceMappingURL=", re.MULTILINE)
 _LICENCE = re.compile(r"\blicen[cs]ed?\b|\bcopyright\b|\(c\)|©", re.IGNORECASE)
 _VERSION = re.compile(r"\bv?\d+\.\d+\.\d+\b")
-_MADE_PATH = re.compile(r"/(?:__generated__|generated|gen|autogen|codegen)/|\.(?:generated|gen|g|pb|autogen)\.[A-Za-z]+$|_pb2?(?:_grpc)?\.[A-Za-z]+$|\.d\.ts$", re.IGNORECASE)
+_MADE_PATH = re.compile(r"/(?:__generated__|generated|gen|autogen|codegen)/|\.(?:generated|gen|g|pb|autogen)\.[A-Za-z]+$|_pb2?(?:_grpc)?\.[A-Za-z]+$", re.IGNORECASE)
 _THIRD_PATH = re.compile(r"/(?:node_modules|bower_components|vendor|vendors|vendored|third[_-]?party|external|externals|extern|deps|site-packages)/|-\d+\.\d+\.\d+\.[A-Za-z]+$", re.IGNORECASE)
 _ALWAYS_THIRD = re.compile(r"/(?:node_modules|bower_components|site-packages)/", re.IGNORECASE)
 

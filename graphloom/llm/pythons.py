@@ -84,7 +84,7 @@ class Pythons:
     def _cell(self, bracket: str, content: str) -> str:
         known = self._cells.get((bracket, content))
         if known is None:
-            if len(self._cells) > 400_000:
+            if len(self._cells) > 150_000:
                 self._cells.clear()
             mask = self.g.mask(bracket, self._repeat.sub(r"\1", content) + END)
             known = self._cells[bracket, content] = chr(Kinds.BASES[bracket] + mask) if mask else ""
@@ -110,7 +110,7 @@ class Pythons:
                 found = (kind, s[-1] == self._colon)
         if found is None and (word is None or word in ("match", "case")) and rule["line"](text, 0) >= 0:
             found = ("simple", False)
-        if len(self._lines) > 400_000:
+        if len(self._lines) > 150_000:
             self._lines.clear()
         self._lines[s] = found
         return found

@@ -270,7 +270,7 @@ class Scripts:
             if stop > n:
                 stop = n
             if stop == end and not self._not_simple.search(piece):
-                if len(known) > 400_000:
+                if len(known) > 150_000:
                     known.clear()
                 known[piece] = True
             at = stop
@@ -374,7 +374,7 @@ class Scripts:
         else:
             mask = g.mask(bracket, flat)
         cell = chr(Kinds.BASES[bracket] + mask) if mask else ""
-        if len(self._cells) > 400_000:
+        if len(self._cells) > 150_000:
             self._cells.clear()
         self._cells[bracket, content] = cell
         return cell
