@@ -27,14 +27,12 @@ _MERGE = """
 WITH RECURSIVE s(step, wid, pos, tok, live) AS (
   SELECT 0, wid, pos, tok, true FROM fresh
   UNION ALL
-  SELECT step, wid, pos, tok, live FROM (
-    SELECT step, wid, pos, CASE WHEN pos = spot THEN made ELSE tok END AS tok, spot IS NOT NULL AS live,
-      spot, lag(pos) OVER (PARTITION BY wid ORDER BY pos) AS before
-    FROM (
-      SELECT p.step + 1 AS step, p.wid, p.pos, p.tok, m.made,
-        min(CASE WHEN m.rank IS NOT NULL THEN m.rank * 4294967296 + p.pos END) OVER (PARTITION BY p.wid) % 4294967296 AS spot
-      FROM (SELECT step, wid, pos, tok, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS nxt FROM s WHERE live) p
-      LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt) q) x
+  SELECT step, wid, pos, CASE WHEN pos = spot THEN made ELSE tok END AS tok, spot IS NOT NULL AS live
+  FROM (
+    SELECT p.step + 1 AS step, p.wid, p.pos, p.tok, p.before, m.made,
+      min(CASE WHEN m.rank IS NOT NULL THEN m.rank * 4294967296 + p.pos END) OVER (PARTITION BY p.wid) % 4294967296 AS spot
+    FROM (SELECT step, wid, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS before FROM s WHERE live WINDOW w AS (PARTITION BY wid ORDER BY pos)) p
+    LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt) q
   WHERE spot IS NULL OR before IS DISTINCT FROM spot
 )
 SELECT wid, list(tok ORDER BY pos) FROM s WHERE NOT live GROUP BY wid
