@@ -36,6 +36,7 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s+[^>])")
 _TAG = re.compile(r"\s*([A-Za-z_$][\w$.:-]*)?")
 _ATTRIBUTE = re.compile(r"""(?:\s|/\*[\s\S]*?\*/|//[^\n]*\n)*(?:([A-Za-z_$][\w$:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|(?=[{<])))?|(?=\{)|(/?>))""")
+_ARGUMENTS = re.compile(r"<[^<>{}]*(?:<[^<>{}]*>[^<>{}]*)*>")
 _TEXT = re.compile(r"[^{<}>]*")
 
 
@@ -76,7 +77,9 @@ class Scripts:
         follows = [p for p in _PUNCTUATORS if p not in ("++", "--", "!", "~", "@", "{", "}", ";", "...", "*", "[", "(", "+", "-", "/", "<")] + ["[", "(", "+", "-", "/", "*", "<", "in", "instanceof", "extends", "implements"]
         self._void_type = re.compile(f"(?<={cls(opens)})\n|\n(?={cls([p for p in follows if p not in ('[', '(', '+', '-', '*', '<')])})")
         groups = f"[{chr(0xF1000)}-{chr(0xF3FFF)}t]"
-        self._void = re.compile(f"(?<={cls(opens)})\n|\n(?={cls(follows)}|{groups})")
+        # after a brace the line end stays: it may close an arrow function, which no group goes on with
+        brace = f"[{chr(Kinds.BASES['B'])}-{chr(Kinds.BASES['P'] - 1)}]"
+        self._void = re.compile(f"(?<={cls(opens)})\n|\n(?={cls(follows)})|(?<!{brace})\n(?={groups})")
         self._repeat = re.compile(r"((?:[^,\n;" + re.escape(c[","] + c[";"]) + r"]+" + re.escape(c[","]) + r"))\1+")
         self._semi = c[";"]
         self._not_simple = re.compile(cls(["if", "do", "try"]))
@@ -219,6 +222,9 @@ class Scripts:
             elif ch == "<":
                 m = _TAG.match(text, at + 1)
                 name, at = m[1] or "", m.end()
+                if name and text.startswith("<", at):
+                    generic = _ARGUMENTS.match(text, at)
+                    at = generic.end() if generic else at
                 while True:
                     m = _ATTRIBUTE.match(text, at)
                     if not m:
