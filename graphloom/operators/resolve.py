@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.operators.graph import fold
 
 
 def _least_tier(rows: DataFrame) -> DataFrame:
-    best = rows.filter("tier is not null").agg(F.min("tier").alias("best"), F.count("*").alias("seen"))
+    """The rows of the least tier, with how many they are; only one row is broadcast."""
+    sizes = rows.filter("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
+    best = sizes.agg(F.min(F.struct("tier", "n")).alias("b")).select(F.col("b.tier").alias("best"), F.col("b.n").alias("n"))
     return rows.crossJoin(F.broadcast(best)).filter("tier = best")
 
 
@@ -24,8 +25,7 @@ def resolve_node(nodes: DataFrame, wanted: str) -> DataFrame:
     name, text = fold(F.col("name")), fold(F.lit(wanted))
     tier = F.when(F.col("id") == wanted, 0).when(name == text, 1).when(name.contains(text), 2)
     rows = _least_tier(nodes.select("id", "type", "name", tier.alias("tier")))
-    many = F.count("*").over(Window.partitionBy("tier")) > 1
-    return rows.select("id", "type", "name", "tier", F.when(many & (F.col("tier") > 0), "ambiguous").otherwise("single").alias("verdict"))
+    return rows.select("id", "type", "name", "tier", F.when((F.col("n") > 1) & (F.col("tier") > 0), "ambiguous").otherwise("single").alias("verdict"))
 
 
 def resolve_root(nodes: DataFrame, target: str, root: str = "") -> DataFrame:

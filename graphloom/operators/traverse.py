@@ -154,8 +154,9 @@ def contained(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     held = edges.filter((F.col("edge_type") == "contains") & (F.col("source") == root)).select(F.col("target").alias("node")).distinct().withColumn("rank", F.lit(0))
     path = root.removeprefix("file:")
     same = nodes.filter((F.col("file_path") == path) & (F.col("id") != root)).select(F.col("id").alias("node"), F.lit(1).alias("rank"))
-    both = held.unionByName(same) if root.startswith("file:") else held.limit(0)
-    return both.withColumn("best", F.min("rank").over(Window.partitionBy(F.lit(1)))).filter("rank = best").select("node", "rank")
+    if not root.startswith("file:"):
+        return held.limit(0)
+    return same if held.isEmpty() else held
 
 
 def impact_walk(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, edge_type: str | None = None, cap: int = 50) -> DataFrame:
