@@ -11,6 +11,9 @@ from graphloom.functions.paths import loose_glob
 #: The suffixes tried for a relative import, in order.
 IMPORT_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
+#: Blocks of either side when every node meets every other, and the tasks they are spread over.
+BLOCKS, BLOCK_TASKS = 16, 64
+
 
 def first_targets(lookups: DataFrame) -> DataFrame:
     """The least target id per (file_path, lookup_name)."""
@@ -101,7 +104,9 @@ def custom_edges(nodes: DataFrame, edges: DataFrame, source_type: str, target_ty
 
     scope ``same-file`` pairs within a file, ``imported`` also along distinct import
     pairs of files (a pair met both ways comes twice), ``all`` every node of the one
-    type with every one of the other, which is what that declaration asks for.
+    type with every one of the other, which is what that declaration asks for. Its rows
+    grow with the square of the input; they are made block by block, each side copied
+    once per block of the other, so that no task meets a whole side.
     target_name is a glob in which only * is special.
     """
     a = nodes.filter(F.col("type") == source_type).select(F.col("id").alias("source"), F.col("file_path").alias("sf"))
@@ -116,7 +121,10 @@ def custom_edges(nodes: DataFrame, edges: DataFrame, source_type: str, target_ty
         pairs = edges.filter("edge_type = 'imports'").join(own.select(F.col("id").alias("source"), F.col("file_path").alias("pf")), "source").join(own.select(F.col("id").alias("target"), F.col("file_path").alias("qf")), "target").select("pf", "qf").distinct()
         far = a.join(pairs, F.col("sf") == F.col("pf")).join(b, F.col("qf") == F.col("tf")).filter("source != target").select("source", "target")
         return same.unionAll(far)
-    return a.join(b, F.lit(True)).filter("source != target").select("source", "target")
+    block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    left = a.select("source", block("source").alias("i"), every.alias("j")).repartition(BLOCK_TASKS, "i", "j")
+    right = b.select("target", every.alias("i"), block("target").alias("j")).repartition(BLOCK_TASKS, "i", "j")
+    return left.join(right, ["i", "j"]).filter("source != target").select("source", "target")
 
 
 def package_owner(files: DataFrame, configs: DataFrame) -> DataFrame:

@@ -263,8 +263,7 @@ def custom_edges_imported(spark, d):
 
 
 def custom_edges_all(spark, d):
-    nodes = table(spark, d, "library_nodes")
-    return ingest.custom_edges(clean_nodes(nodes), _edges(spark, d), "class", "interface", "all")
+    return ingest.custom_edges(_nodes(spark, d), _edges(spark, d), "class", "interface", "all")
 
 
 def _configs(files):
