@@ -167,9 +167,9 @@ def impact_buckets(spark, d):
 
 
 def impact_tests(spark, d):
-    nodes = _nodes(spark, d)
-    seeds = nodes.filter(F.col("id") == INDEX).select(F.col("id").alias("node"))
-    near = traverse.reached(_edges(spark, d), seeds, 2)
+    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    root = nodes.filter(F.col("id") == INDEX).select(F.col("id").alias("node"))
+    near = traverse.reached(edges, root.unionByName(traverse.contained(nodes, edges, INDEX).select("node")))
     from graphloom.functions.paths import IMPACT_TEST
 
     tests = nodes.filter(F.col("type") == "file").filter(F.col("file_path").rlike(IMPACT_TEST))
