@@ -33,10 +33,12 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root and depth of every child in links (type, child, parent).
 
     Result: type, node_id, root_id, depth int, on_cycle boolean and, with_paths,
-    path array<string> from the root down to the node. The root is the topmost
-    ancestor and depth the number of steps up to it. Where the way up enters a
-    loop (also of one node), root_id is the smallest id of that loop, depth is -1
-    and path starts at the loop's contracted core. Links stored several times
+    path array<string> from the root down to the node and turn int. The root is the
+    topmost ancestor and depth the number of steps up to it. Where the way up enters
+    a loop (also of one node), root_id is the smallest id of that loop, depth is -1
+    and path starts at the loop's node that is met first (a node of the loop has
+    itself as path). turn is the place of a loop's node on its loop, counted from 0
+    downwards, and null for all other nodes. Links stored several times
     count once; if a node has several parents, the smallest id is taken. Null types
     or ids give no row, an empty input gives an empty result, further columns of
     links are ignored.
@@ -90,9 +92,9 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         scratch.drop(older)
         live = kept
     path = F.array("c") if with_paths else F.lit(None).cast(f"array<{key}>")
-    done = scratch.save(loops.select("c", F.col("c").alias("root"), F.lit(-1).alias("depth"), F.lit(True).alias("loop"), path.alias("path")), "done")
+    done = scratch.save(loops.select("c", F.col("c").alias("root"), F.lit(-1).alias("depth"), F.lit(True).alias("loop"), F.lit(1).alias("entry"), path.alias("path")), "done")
     for kind, rec in reversed(records):
-        up = done.select(F.col("c").alias("uc"), "root", "depth", F.col("path").alias("upath"))
+        up = done.select(F.col("c").alias("uc"), "root", "depth", "entry", F.col("path").alias("upath"))
         found = rec.join(up, F.col("p") == F.col("uc"), "left")
         if kind == "compress":
             found = found.join(done.select(F.col("c").alias("oc"), F.col("loop").alias("oloop")), F.col("o") == F.col("oc"), "left")
@@ -104,6 +106,8 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
             F.coalesce("root", "p").alias("root"),
             F.when(F.col("depth") == -1, F.lit(-1)).otherwise(F.coalesce("depth", F.lit(0)) + F.col("d")).alias("depth"),
             F.coalesce("oloop", F.lit(False)).alias("loop"),
+            # how many of the path's first steps lie on a loop
+            F.when(F.col("oloop") & F.lit(with_paths), F.size(whole)).otherwise(F.coalesce("entry", F.lit(0))).alias("entry"),
             whole.alias("path"),
         )
         if rec is records[0][1]:
@@ -120,19 +124,33 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     rows = tops.unionByName(looped.join(least, F.col("root") == F.col("k")))
     if not with_paths:
         return rows.select(*cols)
-    at = rows.select(*cols, "c", F.posexplode("path").alias("pos", "s"))
+    # until the steps are gathered, a loop's node bears its turn in depth: -1 - turn
+    kept = F.when(F.col("depth") < 0, F.slice("path", F.col("entry"), F.size("path"))).otherwise(F.col("path"))
+    place = F.when(F.col("loop"), -F.col("entry")).otherwise(F.col("depth")).cast("int").alias("depth")
+    at = rows.select("type", "node_id", F.col("name").alias("root_id"), place, F.col("loop").alias("on_cycle"), F.posexplode(kept).alias("pos", "s"))
     every = names.unionByName(base.select(F.col("c").alias("k"), F.col("child").alias("name"))).dropDuplicates(["k"])
     return (
         at.join(every.select("k", F.col("name").alias("step_id")), F.col("s") == F.col("k"))
         .groupBy("type", "node_id", "root_id", "depth", "on_cycle")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step_id"))), lambda x: x["step_id"]).alias("path"))
+        .select("type", "node_id", "root_id", F.greatest("depth", F.lit(-1)).alias("depth"), "on_cycle", "path", F.when(F.col("on_cycle"), -1 - F.col("depth")).alias("turn"))
     )
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
     """All (type, ancestor_id, node_id, distance) of a result with paths.
 
-    Loops give no rows. The output has one row per node and ancestor, as asked.
+    The output has one row per node and ancestor, as asked. Every node of a loop is an
+    ancestor of all others of the loop and of what hangs below it, once each, at the
+    least distance; no node is its own ancestor.
     """
-    rows = resolved.filter("depth > 0").select("type", "node_id", F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor_id"))
-    return rows.filter("pos < n - 1").select("type", "ancestor_id", "node_id", (F.col("n") - 1 - F.col("pos")).alias("distance"))
+    rows = resolved.select("type", "node_id", F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor_id"))
+    above = rows.filter("pos < n - 1").select("type", "ancestor_id", "node_id", (F.col("n") - 1 - F.col("pos")).alias("distance"))
+    looped = Scratch(resolved.sparkSession, "descendants").save(resolved.filter("depth < 0"), "looped")
+    ring = looped.filter("on_cycle").select("type", "root_id", F.col("node_id").alias("ancestor_id"), "turn")
+    sizes = ring.groupBy("type", "root_id").agg(F.count("*").alias("size"))
+    entries = ring.join(sizes, ["type", "root_id"]).select("type", "root_id", F.col("ancestor_id").alias("entry_id"), F.col("turn").alias("entry_turn"), "size")
+    below = looped.select("type", "root_id", "node_id", F.col("path")[0].alias("entry_id"), F.size("path").alias("n"))
+    round_ = below.join(entries, ["type", "root_id", "entry_id"]).join(ring, ["type", "root_id"]).filter("ancestor_id != entry_id")
+    steps = F.col("n") - 1 + F.pmod(F.col("entry_turn") - F.col("turn"), F.col("size"))
+    return above.unionByName(round_.select("type", "ancestor_id", "node_id", steps.cast("int").alias("distance")))

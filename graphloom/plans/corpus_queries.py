@@ -15,7 +15,7 @@ def p2_found(spark, d):
 
 def p2_paths(spark, d):
     links = hierarchy.graph_links(table(spark, d, "edges"))
-    rows = hierarchy.resolve_hierarchy(links, with_paths=True).filter("depth > 0")
+    rows = hierarchy.resolve_hierarchy(links, with_paths=True)
     return rows.select("type", "node_id", "depth", F.array_join("path", " / ").alias("full_path"))
 
 

@@ -61,3 +61,30 @@ def test_paths_and_descendants(spark):
 def test_links_are_read_from_either_end(spark):
     edges = spark.createDataFrame([("contains", "p", "c", "forward"), ("contains", "c", "p", "backward"), ("extends", "c", "p", "forward"), ("extends", "p", "c", "backward"), ("calls", "x", "y", "forward"), ("contains", None, "c", "forward")], "type string, source string, target string, direction string")
     assert {tuple(r) for r in graph_links(edges).distinct().collect()} == {("contains", "c", "p"), ("extends", "c", "p")}
+
+
+def ways(links):
+    """Per node the steps up to each other node met, and the path from the root or the first node of a loop."""
+    parent, up, paths = {}, {}, {}
+    for t, c, p in links:
+        parent[t, c] = min(p, parent.get((t, c), p))
+    for t, c in parent:
+        way = [c]
+        while (t, way[-1]) in parent and parent[t, way[-1]] not in way:
+            way.append(parent[t, way[-1]])
+        up |= {(t, a, c): n for n, a in enumerate(way) if n}
+        stop = way.index(parent[t, way[-1]]) if (t, way[-1]) in parent else len(way) - 1
+        paths[t, c] = way[stop::-1]
+    return up, paths
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_nodes_on_and_below_loops_have_paths_and_ancestors(spark, seed):
+    rng = random.Random(seed)
+    links = [(t, f"n{i}", f"n{rng.randrange(80)}") for t in "ab" for i in range(60)]
+    links += [("c", f"{i}", f"{(i + 1) % 7}") for i in range(7)] + [("c", "x", "3"), ("c", "y", "x"), ("c", "z", "y"), ("d", "l", "l"), ("d", "m", "l")]
+    found = resolve_hierarchy(spark.createDataFrame(links, SCHEMA), with_paths=True)
+    up, paths = ways(links)
+    assert {(r["type"], r["node_id"]): list(r["path"]) for r in found.collect()} == paths
+    rows = [tuple(r) for r in descendants(found).select("type", "ancestor_id", "node_id", "distance").collect()]
+    assert len(rows) == len(up) and {r[:3]: r[3] for r in rows} == up
