@@ -21,7 +21,7 @@ _PATTERN = r"""
   (?P<pysignature>(?:[ \t]*@[^\n]*\n)*+(?P<indent>[ \t]*)(?:async[ ]+)?(?:def|class)\b[^\n(:]*+(?&round)?[^\n:]*+:)
   (?P<pybody>[^\n]*+(?:\n(?:[ \t]*(?=\n|\Z)|(?P=indent)[ \t]+(?:(?&pydoc)|[^\n])*+))*+)
 |
-  (?P<comment>(?:[ \t\n]*+/\*\*(?s:.)*?\*/)?)
+  (?P<comment>(?:[ \t\r\n]*+/\*\*(?s:.)*?\*/)?)
   (?P<signature>(?:[^{}"'`/(]++|(?&round)|(?&quoted)|(?&note)|(?&block)(?=\s*+\{))*+)
   (?P<body>(?&block))
 |
@@ -89,7 +89,7 @@ def documented_functions(nodes: DataFrame, sources: DataFrame, least_words: int
     before = F.array_join(F.slice("lines", F.lit(1), F.col("line_start") - 1), "\n")
     lead = F.substring_index(before, "/**", -1)
     # the last comment before the function, if nothing but blanks lies between
-    adjoining = F.when(F.instr(before, "/**") > 0, F.when(F.rtrim(F.substring_index(lead, "*/", -1)).isin("", "\n") & (F.instr(lead, "*/") > 0), F.concat(F.lit("/**"), lead, F.lit("\n"))))
+    adjoining = F.when(F.instr(before, "/**") > 0, F.when(F.substring_index(lead, "*/", -1).rlike(r"^\s*$") & (F.instr(lead, "*/") > 0), F.concat(F.lit("/**"), lead, F.lit("\n"))))
     rows = joined.select("node_id", "name", "description", F.coalesce(adjoining, F.lit("")).alias("lead"), own.alias("code"))
 
     def run(batches):

@@ -32,3 +32,11 @@ def test_which_functions_count(spark):
     assert set(found) == {"ok", "last", "words"}
     assert found["ok"]["comment"].strip() == "/** Opens the old gate. */" and found["ok"]["body"] == "{\n  return 1;\n}" and found["last"]["code"] == ""
     assert documented_functions(nodes.limit(0), sources).count() == 0 and documented_functions(nodes, sources.limit(0)).count() == 0
+
+
+def test_comments_of_files_with_crlf_are_kept(spark):
+    text = "/** Opens the old gate. */\r\nfunction openGate() {\r\n  return 1;\r\n}\r\n"
+    nodes = spark.createDataFrame([("n", "function", "openGate", "/a.ts", 2, 4, doc("Opens the old wooden gate"), "x")], NODES)
+    row = documented_functions(nodes, spark.createDataFrame([("/a.ts", text)], "path string, text string")).first()
+    assert row["comment"] == "/** Opens the old gate. */" and row["body"] == "{\r\n  return 1;\r\n}"
+    assert capture("\r\n" + text)[0].strip() == "/** Opens the old gate. */"
