@@ -11,39 +11,54 @@ from graphloom.functions.keys import key128
 FIRST, LAST = -(2**31), 2**31 - 1
 
 
-def compress_runs(keys: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Integer keys compressed into contiguous runs: group, run_start, run_end.
+def compress_runs(keys: DataFrame, group: list[str], key: str, end: str | None = None) -> DataFrame:
+    """Sorted integer keys compressed into contiguous runs: group, run_start, run_end.
 
-    Repeated keys count once, null keys give nothing. Rows of one group are ordered
-    in one partition; give a group of bounded size, or a bucket of the key.
+    A row stands for one key, or for all keys from ``key`` to ``end``. Repeated and
+    overlapping keys count once, null keys give nothing. Rows of one group are
+    ordered in one partition; give a group of bounded size, or a bucket of the key.
     """
-    each = keys.filter(F.col(key).isNotNull()).select(*group, key).distinct()
-    order = Window.partitionBy(*group).orderBy(key)
-    island = F.col(key) - F.row_number().over(order)
-    return each.withColumn("island", island).groupBy(*group, "island").agg(F.min(key).alias("run_start"), F.max(key).alias("run_end")).drop("island")
+    last = F.col(end or key)
+    each = keys.filter(F.col(key).isNotNull()).select(*group, F.col(key).alias("first_key"), last.alias("last_key"))
+    order = Window.partitionBy(*group).orderBy("first_key", "last_key")
+    reach = F.max("last_key").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = each.withColumn("opens", F.when(reach.isNull() | (F.col("first_key") > reach + 1), 1).otherwise(0))
+    islands = marked.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*group, "island").agg(F.min("first_key").alias("run_start"), F.max("last_key").alias("run_end")).drop("island")
 
 
-def asof_orphans(references: DataFrame, runs: DataFrame, group: str, key: str) -> DataFrame:
-    """Distinct (group, key) of references outside every run, with the reason.
+def asof_match(references: DataFrame, runs: DataFrame, group: str, key: str, *carry: str) -> DataFrame:
+    """Each reference with the runs around its key: group, key, carry, reach, ahead.
 
-    As-of match: each reference meets the run with the greatest start not above
-    its key; beyond that run's end it is ``deleted``. Without such a run it is
-    ``late`` if the group has later runs, else ``missing``. Both sides are merged
-    by one sort per group; references are made distinct before, so a group that
-    holds a third of all references is a handful of rows.
+    As-of match: reach is the end of the run with the greatest start not above the
+    key, ahead the start of the next run; null if there is none. The key exists
+    exactly if it is not beyond reach. Both sides are merged by one sort per group.
     """
-    wanted = references.select(group, key).distinct().select(group, F.col(key).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("run_end"))
-    known = runs.select(group, F.col("run_start").alias("at"), F.lit(0).alias("kind"), F.col("run_end").cast("int").alias("run_end"))
+    rest = [F.col(c) for c in carry]
+    wanted = references.select(group, F.col(key).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("run_end"), *rest)
+    nothing = [F.lit(None).cast(references.schema[c].dataType).alias(c) for c in carry]
+    known = runs.select(group, F.col("run_start").alias("at"), F.lit(0).alias("kind"), F.col("run_end").cast("bigint").alias("run_end"), *nothing)
     order = Window.partitionBy(group).orderBy("at", "kind")
     merged = known.unionByName(wanted).select(
         group,
-        "at",
+        F.col("at").alias(key),
         "kind",
+        *carry,
         F.last("run_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"),
-        F.max("run_end").over(Window.partitionBy(group)).alias("any_run"),
+        F.first(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("ahead"),
     )
-    reason = F.when(F.col("any_run").isNull(), "missing").when(F.col("reach").isNull(), "late").when(F.col("at") > F.col("reach"), "deleted")
-    return merged.filter("kind = 1").select(group, F.col("at").alias(key), reason.alias("reason")).filter("reason is not null")
+    return merged.filter("kind = 1").drop("kind")
+
+
+def asof_orphans(references: DataFrame, runs: DataFrame, group: str, key: str) -> DataFrame:
+    """Distinct (group, key) of references outside every run, with the reason.
+
+    Beyond the end of the preceding run a key is ``deleted``; without such a run it
+    is ``late`` if the group has later runs, else ``missing``.
+    """
+    matched = asof_match(references.select(group, key).distinct(), runs, group, key)
+    reason = F.when(F.col("reach").isNull(), F.when(F.col("ahead").isNull(), "missing").otherwise("late")).when(F.col(key) > F.col("reach"), "deleted")
+    return matched.select(group, key, reason.alias("reason")).filter("reason is not null")
 
 
 def existence_runs(nodes: DataFrame, library_nodes: DataFrame, node_changes: DataFrame) -> DataFrame:
@@ -86,7 +101,23 @@ def edge_references(edges: DataFrame, scan_runs: DataFrame) -> DataFrame:
     return rows.select("edge_id", F.col("e.side").alias("side"), key128("e.ref").alias("k"), F.coalesce("run", F.lit(LAST)).alias("run"))
 
 
-def orphan_references(edges: DataFrame, nodes: DataFrame, library_nodes: DataFrame, node_changes: DataFrame, scan_runs: DataFrame) -> DataFrame:
+def parent_keys(references: DataFrame, existence: DataFrame, buckets: int) -> DataFrame:
+    """References and parents under integer keys: bucket, k, run, first_key, last_key, parent.
+
+    The ids of both sides form one sorted dictionary per bucket of their hash. A key
+    is the place of the id in it, times 2**32, plus the run; a parent holds the keys
+    of all runs at which it exists, so parents that always exist and stand next to
+    each other in the dictionary have contiguous keys.
+    """
+    held = existence.select("k", F.lit(None).cast("int").alias("run"), F.col("run_start").alias("lo"), F.col("run_end").alias("hi"), F.lit(True).alias("parent"))
+    named = references.select("k", "run").distinct().select("k", "run", F.col("run").alias("lo"), F.col("run").alias("hi"), F.lit(False).alias("parent"))
+    rows = held.unionByName(named).withColumn("bucket", F.pmod(F.col("k.a"), F.lit(buckets)).cast("int"))
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("k")).cast("bigint")
+    base = place * F.lit(2**32) - F.lit(FIRST)
+    return rows.select("bucket", "k", "run", (base + F.col("lo")).alias("first_key"), (base + F.col("hi")).alias("last_key"), "parent")
+
+
+def orphan_references(edges: DataFrame, nodes: DataFrame, library_nodes: DataFrame, node_changes: DataFrame, scan_runs: DataFrame, buckets: int = 4096, salt: int = 16) -> DataFrame:
     """References of edges to nodes that do not exist: edge_id, side, run, reason.
 
     reason is ``missing`` (in no table), ``deleted`` (gone by the edge's run) or
@@ -95,12 +126,24 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, library_nodes: DataFra
     row, empty tables give an empty result (or, if only the nodes are empty, every
     reference as missing). Further columns are ignored.
 
-    The only broadcast is the one-row latest run. A hot reference key is split by
-    the skew handling of the last equi-join; its as-of match sees it once per run.
+    The integer keys of all parents are compressed into contiguous runs, and each
+    distinct reference meets the run before it: a key beyond that run's end does not
+    exist. Whether the id existed before or exists later shows in the runs around
+    its own block of keys. References are made distinct before, so a key that holds
+    a third of them is a handful of rows; the join back to the edges is spread over
+    ``salt`` parts of every key. Buckets are ordered in one task each: give more of
+    them where a bucket of ids would not fit. The only broadcast is the one-row latest run.
     """
     references = edge_references(edges, scan_runs)
-    bad = asof_orphans(references, existence_runs(nodes, library_nodes, node_changes), "k", "run")
-    return references.join(bad, ["k", "run"]).select("edge_id", "side", "run", "reason").distinct()
+    keyed = parent_keys(references, existence_runs(nodes, library_nodes, node_changes), buckets)
+    runs = compress_runs(keyed.filter("parent"), ["bucket"], "first_key", "last_key")
+    matched = asof_match(keyed.filter("not parent").select("bucket", "first_key", "k", "run"), runs, "bucket", "first_key", "k", "run")
+    block = F.col("first_key") - F.col("run") + F.lit(FIRST)
+    beyond = F.col("reach").isNull() | (F.col("first_key") > F.col("reach"))
+    reason = F.when(F.col("reach") >= block, "deleted").when(F.col("ahead") < block + F.lit(2**32), "late").otherwise("missing")
+    bad = matched.filter(beyond).select("k", "run", reason.alias("reason"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
+    spread = references.withColumn("part", F.pmod(F.xxhash64("edge_id"), F.lit(salt)).cast("int"))
+    return spread.join(bad, ["k", "run", "part"]).select("edge_id", "side", "run", "reason").distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

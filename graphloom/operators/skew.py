@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.workspace import Scratch
+
 
 def target_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Result per (type, target) of edges joined with nodes on target = id.
@@ -38,9 +40,12 @@ def type_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def hot_targets(edges: DataFrame, nodes: DataFrame, share: float = 0.01) -> DataFrame:
     """(type, target) pairs that hold at least that share of all rows of edges.
 
-    The total is rolled up from the same pre-aggregated states and is one row, the
-    only thing broadcast. Pairs with a null type or target are reported as such.
+    Columns: type, target, n_edges, n_joined. The joined states of target_statistics
+    are written once; the total is rolled up from them, so edges are read a single
+    time, and that one row is the only thing broadcast. Pairs with a null type or
+    target are reported as such; empty edges give an empty result.
     """
-    per_key = target_statistics(edges, nodes)
-    total = edges.agg(F.count("*").alias("total"))
-    return per_key.crossJoin(F.broadcast(total)).filter(F.col("n_edges") >= F.col("total") * F.lit(share)).select("type", "target", "n_edges", "n_joined")
+    scratch = Scratch(edges.sparkSession, "skew")
+    states = scratch.save(target_statistics(edges, nodes).select("type", "target", "n_edges", "n_joined"), "states")
+    total = states.agg(F.sum("n_edges").alias("total"))
+    return states.crossJoin(F.broadcast(total)).filter(F.col("n_edges") >= F.col("total") * F.lit(share)).select("type", "target", "n_edges", "n_joined")
