@@ -4,7 +4,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators.incremental import StaleWriter, WorkLedger, digest, replay_changes
+from graphloom.operators import incremental
+from graphloom.operators.incremental import ChangeJob, LeaseHeld, StaleWriter, WorkLedger, digest, process_changes, replay_changes
 from graphloom.workspace import Scratch
 
 A, B = "a1" * 32, "b2" * 32
@@ -52,3 +53,64 @@ def test_ledger_leases_expire_and_stale_writers_are_rejected(spark):
     assert ledger.states() == {"a": "done", "b": "leased"}
     ledger.add(["a"])
     assert ledger.states()["a"] == "done"
+
+
+def test_an_unfinished_ledger_file_is_no_book(spark):
+    folder = Scratch(spark, "t").path("ledger")
+    ledger = WorkLedger(spark, folder)
+    ledger.add(["a"])
+    ledger._fs.create(ledger._path("draft-x"), False).close()  # a writer that died while writing
+    assert WorkLedger(spark, folder).states() == {"a": "pending"}
+    ledger.add(["b"])
+    assert ledger.states() == {"a": "pending", "b": "pending"}
+
+
+@pytest.mark.parametrize("dies_in", ["_write", "complete"])
+def test_a_run_killed_before_its_commit_is_repeated_once(spark, monkeypatch, dies_in):
+    folder = Scratch(spark, "t").path("job")
+    files = spark.createDataFrame([("p", A, 10, 1)], FILES)
+    seen = spark.createDataFrame([(1, 1, "p", B, 20), (2, 2, "q", A, 30), (3, 3, "p", A, 40)], SEEN)
+    states = runs(spark, "success", "success", "success")
+    assert {tuple(r) for r in process_changes(folder, files, seen.filter("run_id = 1"), states.filter("run_id = 1"), now=0).collect()} == {(1, "p")}
+
+    whole = ChangeJob._write if dies_in == "_write" else WorkLedger.complete
+
+    def dying(self, *args):
+        if dies_in == "_write":
+            whole(self, *args)  # all is written, nothing committed
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(ChangeJob if dies_in == "_write" else WorkLedger, dies_in, dying)
+        with pytest.raises(KeyboardInterrupt):
+            process_changes(folder, files, seen, states, now=100, lease_seconds=50)
+    with pytest.raises(LeaseHeld):
+        process_changes(folder, files, seen, states, now=120, lease_seconds=50)
+    found = [tuple(r) for r in process_changes(folder, files, seen, states, now=200, lease_seconds=50).collect()]
+    assert sorted(found) == [(1, "p"), (2, "q"), (3, "p")]
+
+
+def test_a_second_call_without_arrivals_reads_no_state(spark, monkeypatch):
+    folder = Scratch(spark, "t").path("job")
+    files = spark.createDataFrame([("p", A, 10, 1)], FILES)
+    seen = spark.createDataFrame([(1, 1, "p", B, 20)], SEEN)
+    states = runs(spark, "success", "success")
+    first = sorted(map(tuple, process_changes(folder, files, seen, states).collect()))
+    called = []
+    monkeypatch.setattr(incremental.ChangeJob, "start", lambda *a: called.append("start"))
+    monkeypatch.setattr(incremental.ChangeJob, "run", lambda *a: called.append("run"))
+    assert sorted(map(tuple, process_changes(folder, files, seen, states).collect())) == first == [(1, "p")]
+    assert called == []
+
+
+def test_only_touched_buckets_are_read(spark):
+    folder = Scratch(spark, "t").path("job")
+    files = spark.createDataFrame([(f"p{n}", A, 10, 1) for n in range(200)], FILES)
+    job = ChangeJob(spark, folder)
+    job.start(files, 0)
+    arrivals = spark.createDataFrame([("p7", 1, 1, B, 20)], "path string, run_id int, obs_id bigint, digest string, indexed_at bigint")
+    job.run(1, arrivals, [1], True, 0)
+    bucket = spark.sql("SELECT CAST(pmod(xxhash64('p7'), 16) AS INT)").first()[0]
+    plan = job._read(job.outputs()).filter(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert [tuple(r) for r in job.changes().collect()] == [(1, "p7")]
