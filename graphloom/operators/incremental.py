@@ -144,14 +144,16 @@ class ChangeJob:
     folder goes on behind the last committed run.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, lease_seconds: float = 3600.0, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, folder: str, lease_seconds: float = 3600.0, buckets: int = 8) -> None:
         self.spark, self.folder, self.lease_seconds, self.buckets = spark, folder.rstrip("/"), lease_seconds, buckets
         self.ledger = WorkLedger(spark, f"{self.folder}/ledger")
 
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+
     def _write(self, rows: DataFrame, output: str) -> None:
         """Rows by bucket under the output's path, which a retry with the same token overwrites."""
-        bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
-        placed = rows.withColumn("bucket", bucket).repartition("bucket")
+        placed = rows.withColumn("bucket", self.bucket()).repartition("bucket")
         placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{output}")
 
     def outputs(self) -> list[str]:
@@ -162,11 +164,7 @@ class ChangeJob:
     def _read(self, outputs: list[str]) -> DataFrame:
         if not outputs:
             return self.spark.createDataFrame([], _STATE)
-        parts = [self.spark.read.schema(_STATE).parquet(f"{self.folder}/{o}") for o in outputs]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows
+        return self.spark.read.schema(f"{_STATE}, run int, token int").option("basePath", f"{self.folder}/state").parquet(*(f"{self.folder}/{o}" for o in outputs))
 
     def _hold(self, name: str, now: float, seconds: float, among: list[str]) -> tuple[int, list[str]]:
         token, mine = self.ledger.lease(name, now, seconds, among)
@@ -186,15 +184,15 @@ class ChangeJob:
             self._write(_latest(rows, "indexed_at", "digest").select("path", "digest", "indexed_at", F.lit(False).alias("changed"), F.lit(0).alias("run_id")), output)
             self.ledger.complete(token, mine, output)
 
-    def run(self, run: int, arrivals: DataFrame, arrived: list[int], succeeds: bool, now: float) -> None:
+    def run(self, run: int, arrivals: DataFrame, arrived: dict[int, set[int]], succeeds: bool, now: float) -> None:
         """One scan run: leases all arrivals up to it that are not done, and handles them.
 
-        arrivals has path, run_id, obs_id, digest, indexed_at; arrived lists its run
-        ids. A run that does not succeed commits nothing, and its lease ends with it.
-        Only the buckets that the arrivals touch are read of the state.
+        arrivals has path, run_id, obs_id, digest, indexed_at; arrived names its run
+        ids, with the buckets each touches: only these are read of the state. A run
+        that does not succeed commits nothing, and its lease ends with it.
         """
-        names = [str(r) for r in arrived if r <= run]
-        open_items = [i for i in names if self.ledger.states().get(i) != "done"]
+        states = self.ledger.states()
+        open_items = [str(r) for r in sorted(arrived) if r <= run and states.get(str(r)) != "done"]
         if not open_items:
             return
         self.ledger.add(open_items)
@@ -203,7 +201,7 @@ class ChangeJob:
             return
         output = f"state/run={run}/token={token}"
         batch = _latest(arrivals.filter(F.col("run_id").isin([int(i) for i in mine])), "indexed_at", "run_id", "obs_id", "digest")
-        touched = [r["b"] for r in batch.select(F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # at most self.buckets rows
+        touched = sorted(set().union(*(arrived[int(i)] for i in mine)))
         state = self._read(self.outputs()).filter(F.col("bucket").isin(touched))
         old = state.join(batch.select("path"), "path", "left_semi").groupBy("path").agg(F.max_by("digest", F.struct("indexed_at", "run_id")).alias("old"), F.max("indexed_at").alias("old_at"))
         fresh = batch.join(old, "path", "left").filter("old_at is null or indexed_at >= old_at")
@@ -215,7 +213,7 @@ class ChangeJob:
         return self._read([o for o in self.outputs() if "/run=0/" not in o]).filter("changed").select("run_id", "path")
 
 
-def process_changes(folder: str, files: DataFrame, observations: DataFrame, scan_runs: DataFrame, now: float | None = None, lease_seconds: float = 3600.0, buckets: int = 16) -> DataFrame:
+def process_changes(folder: str, files: DataFrame, observations: DataFrame, scan_runs: DataFrame, now: float | None = None, lease_seconds: float = 3600.0, buckets: int = 8) -> DataFrame:
     """Brings the job of a folder up to the last scan run: run_id int, path.
 
     The state of a path is the digest of its record with the greatest indexed_at,
@@ -241,11 +239,12 @@ def process_changes(folder: str, files: DataFrame, observations: DataFrame, scan
     done = [int(i) for i, s in job.ledger.states().items() if s == "done" and i != "base"]
     fresh = observations.filter(~F.col("run_id").isin(done)) if done else observations
     seen = fresh.select("path", "run_id", "obs_id", digest(F.col("content_hash")).alias("digest"), "indexed_at").filter(_READY).filter("run_id is not null")
-    last = runs[-1][0] if runs else 0
-    arrived = sorted(r["run_id"] for r in seen.filter(F.col("run_id") <= last).select("run_id").distinct().collect())
+    seen = seen.filter(F.col("run_id") <= (runs[-1][0] if runs else 0))
+    scratch = Scratch(spark, "incremental")
+    seen = scratch.save(seen, "arrivals")
+    # at most one row per scan run, each of at most `buckets` numbers
+    arrived = {r["run_id"]: set(r["b"]) for r in seen.groupBy("run_id").agg(F.collect_set(job.bucket()).alias("b")).collect()}
     if arrived:
-        scratch = Scratch(spark, "incremental")
-        seen = scratch.save(seen, "arrivals")
         job.start(files, now)
         for run, status in runs:
             job.run(run, seen, arrived, status == "success", now)

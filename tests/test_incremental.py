@@ -106,11 +106,11 @@ def test_a_second_call_without_arrivals_reads_no_state(spark, monkeypatch):
 def test_only_touched_buckets_are_read(spark):
     folder = Scratch(spark, "t").path("job")
     files = spark.createDataFrame([(f"p{n}", A, 10, 1) for n in range(200)], FILES)
-    job = ChangeJob(spark, folder)
+    job = ChangeJob(spark, folder, buckets=16)
     job.start(files, 0)
     arrivals = spark.createDataFrame([("p7", 1, 1, B, 20)], "path string, run_id int, obs_id bigint, digest string, indexed_at bigint")
-    job.run(1, arrivals, [1], True, 0)
     bucket = spark.sql("SELECT CAST(pmod(xxhash64('p7'), 16) AS INT)").first()[0]
+    job.run(1, arrivals, {1: {bucket}}, True, 0)
     plan = job._read(job.outputs()).filter(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
     assert [tuple(r) for r in job.changes().collect()] == [(1, "p7")]
