@@ -61,12 +61,17 @@ def p10_found(spark, d):
     return spans.shared_passages(table(spark, d, "documents", "doc_id", "text")).filter("size(a_runs) > 0").select("doc_a", "doc_b")
 
 
+def p10_passages(spark, d):
+    rows = spans.shared_passages(table(spark, d, "documents", "doc_id", "text")).select("doc_a", "doc_b", F.explode("passages").alias("p"))
+    return rows.select("doc_a", "doc_b", "p.a_start", "p.a_end", "p.b_start", "p.b_end", F.round("p.identity", 6).alias("identity"))
+
+
 def p10_share(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
     return spans.shared_share(docs, spans.shared_passages(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_unreliable, p4_found, p4_reasons, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_unreliable, p4_found, p4_reasons, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_passages, p10_share)}
 
 _TELLING = r"""
 WITH docs AS (
