@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from itertools import chain
 
 import duckdb
@@ -22,6 +23,8 @@ _SPACE = r" \t\n\r\x0b\x0c"
 _ASCII = re.compile(rf" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}A-Za-z0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PARTS = re.compile(r" ?[A-Z]?[a-z]+| ?[A-Z]+(?![a-z])")
+#: Scripts of three-byte letters, which mostly write no blanks: each letter is a part.
+_LETTERS = re.compile(r" ?[\u0800-\U0010ffff]")
 
 _MERGE = """
 WITH RECURSIVE s(step, wid, pos, tok, live) AS (
@@ -38,6 +41,27 @@ WITH RECURSIVE s(step, wid, pos, tok, live) AS (
 SELECT wid, list(tok ORDER BY pos) FROM s WHERE NOT live GROUP BY wid
 """
 
+#: The same for long words: a merge never makes a pair of lesser rank, so the occurrences of
+#: the least pair follow each other from the left, and one round contracts them all. Only
+#: pairs of equal tokens overlap; of such a run every second place counts.
+_MERGE_RUNS = """
+WITH RECURSIVE s(step, wid, pos, tok, live) AS (
+  SELECT 0, wid, pos, tok, true FROM fresh
+  UNION ALL
+  SELECT step, wid, pos, CASE WHEN hit THEN made ELSE tok END AS tok, best IS NOT NULL AS live
+  FROM (
+    SELECT *, lag(hit) OVER (PARTITION BY wid ORDER BY pos) AS gone
+    FROM (
+      SELECT *, rank IS NOT NULL AND rank = best AND (n - coalesce(max(CASE WHEN rank IS DISTINCT FROM best THEN n END) OVER (PARTITION BY wid ORDER BY pos), 0)) % 2 = 1 AS hit
+      FROM (
+        SELECT p.step + 1 AS step, p.wid, p.pos, p.tok, p.n, m.made, m.rank, min(m.rank) OVER (PARTITION BY p.wid) AS best
+        FROM (SELECT step, wid, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS n FROM s WHERE live WINDOW w AS (PARTITION BY wid ORDER BY pos)) p
+        LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt) q) h) g
+  WHERE best IS NULL OR gone IS DISTINCT FROM true
+)
+SELECT wid, list(tok ORDER BY pos) FROM s WHERE NOT live GROUP BY wid
+"""
+
 
 def split_words(text: str) -> list[str]:
     return (_ASCII if text.isascii() else _ANY).findall(text)
@@ -54,18 +78,21 @@ class WordEncoder:
     """Encodes words of one vocabulary file, keeping what it has encoded.
 
     The cache holds at most ``keep`` words and is emptied when full; that bounds
-    memory and changes no result. Compound words are put together from encoded
-    parts where that is provably the same: a sequence of tokens is the encoding of
-    a word exactly if no neighbouring two of them would have merged otherwise.
+    memory and changes no result. Long and compound words, and words of scripts
+    without blanks, are put together from encoded parts: a sequence of tokens is the
+    encoding of a word exactly if no neighbouring two of them would have merged
+    otherwise. Where a seam does not hold, the tokens around it are encoded again by
+    the same query, the seams of all words of a batch at once.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 2_000, longest: int = 64) -> None:
+    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 2_000, longest: int = 32) -> None:
         model = json.load(open(vocabulary))["model"]
         ids, byte = model["vocab"], _bytes_of_symbols()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.keep, self.chunk, self.longest = keep, chunk, longest
         self.ids: dict[str, tuple[int, ...]] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
+        self._around: dict[bytes, tuple[int, ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._byte_ids = np.zeros(256, np.int32)
         for symbol, b in byte.items():
@@ -80,32 +107,80 @@ class WordEncoder:
         self._db.execute("CREATE TABLE merges AS SELECT * FROM given")
 
     def merge(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The tokens of each word; of long ones from pieces, joined where that is provably the same."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list[tuple[int, ...]] = [()] * len(raw)
-        short = [i for i, r in enumerate(raw) if len(r) <= self.longest]
-        for i, tokens in zip(short, self.contract([raw[i] for i in short])):
-            out[i] = tokens
-        for i, r in enumerate(raw):
-            if len(r) > self.longest:
-                out[i] = self._stitched(r)
-        return out
+        """The tokens of each word, by the recursive query over the whole word."""
+        return self.contract([w.encode("utf-8", "surrogatepass") for w in words])
 
-    def _stitched(self, raw: bytes) -> tuple[int, ...]:
-        """A long word, from pieces whose seams are encoded again until they hold."""
-        pieces = self.contract([raw[at : at + self.longest] for at in range(0, len(raw), self.longest)])
-        out, of = list(pieces[0]), self.token_bytes
-        for piece in pieces[1:]:
+    def pieces(self, word: str) -> list[str]:
+        """The parts a word is put together from, itself if it is short and simple."""
+        if word.isascii():
+            parts = _PARTS.findall(word)
+            if sum(map(len, parts)) != len(word):
+                parts = [word]
+        else:
+            parts = _LETTERS.findall(word)
+            if sum(map(len, parts)) != len(word):
+                parts = [word]
+        if len(word) * 4 > self.longest:  # it may be longer than that in bytes
+            size = self.longest // 2
+            out = []
+            for p in parts:
+                step = size if p.isascii() else size // 4
+                out += [p] if len(p) <= 2 * step else [p[at : at + step] for at in range(0, len(p), step)]
+            return out
+        return parts
+
+    def _known(self, parts: Iterable[str]) -> None:
+        """Makes ``_parts`` hold the tokens of all the given parts."""
+        ask = list({p for p in parts if p not in self._parts})
+        self._parts.update(zip(ask, self.contract([p.encode("utf-8", "surrogatepass") for p in ask])))
+
+    def assemble(self, rows: list[list[tuple[int, ...]]]) -> list[tuple[int, ...]]:
+        """The tokens of each row's bytes, from the encodings of its consecutive pieces.
+
+        Neighbouring pieces are joined two by two, level by level, in all rows at
+        once. A seam holds if the two tokens at it stay apart. Else the last k tokens
+        before it and the first k after it are encoded again as one word, for all
+        open seams of the level in one query; k doubles until the seams around hold.
+        """
+        rows = [list(r) for r in rows]
+        while any(len(r) > 1 for r in rows):
+            seams = [(n, i) for n, r in enumerate(rows) for i in range(0, len(r) - 1, 2)]
+            joined: dict[tuple[int, int], tuple[int, ...]] = {}
             k = 0
-            while True:
-                left, right = out[: len(out) - k], list(piece[k:])
-                middle = list(self.contract([b"".join(of[t] for t in [*out[len(out) - k :], *piece[:k]])])[0]) if k else []
-                whole = [*left[-1:], *middle, *right[:1]]
-                if all(self._stay_apart(a, b) for a, b in zip(whole, whole[1:])):
-                    out[len(out) - k :] = [*middle, *right]
-                    break
-                k = min(max(4, 2 * k), max(len(out), len(piece)))
-        return tuple(out)
+            while seams:
+                left = []
+                for n, i in seams:
+                    x, y = rows[n][i], rows[n][i + 1]
+                    if not x or not y:
+                        joined[n, i] = x + y
+                    elif k == 0 and self._stay_apart(x[-1], y[0]):
+                        joined[n, i] = x + y
+                    else:
+                        left.append((n, i))
+                k = k * 2 if k else 4
+                of = self.token_bytes
+                raw = [b"".join(of[t] for t in (*rows[n][i][-k:], *rows[n][i + 1][:k])) for n, i in left]
+                seams = []
+                for (n, i), middle in zip(left, self._windows(raw)):
+                    x, y = rows[n][i], rows[n][i + 1]
+                    before, after = x[:-k], y[k:]
+                    if (not before or self._stay_apart(before[-1], middle[0])) and (not after or self._stay_apart(middle[-1], after[0])):
+                        joined[n, i] = before + middle + after
+                    else:
+                        seams.append((n, i))
+            rows = [[joined[n, i] if (n, i) in joined else r[i] for i in range(0, len(r), 2)] for n, r in enumerate(rows)]
+        return [r[0] if r else () for r in rows]
+
+    def _windows(self, raw: list[bytes]) -> list[tuple[int, ...]]:
+        """The tokens of the bytes around seams; of short ones they are kept."""
+        ask = list({r for r in raw if r not in self._around})
+        if len(self._around) + len(ask) > self.keep:
+            self._around.clear()
+            ask = list(set(raw))
+        found = dict(zip(ask, self.contract(ask)))
+        out = [found[r] if r in found else self._around[r] for r in raw]
+        self._around.update((r, t) for r, t in found.items() if len(r) <= 64)
+        return out
 
     def contract(self, raw: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each byte string by the recursive query."""
@@ -120,7 +195,7 @@ class WordEncoder:
             pos = np.arange(len(wid), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             fresh = pa.table({"wid": wid, "pos": pos, "tok": self._byte_ids[np.frombuffer(b"".join(raw), np.uint8)]})
             self._db.register("fresh", fresh)
-            for w, tokens in self._db.execute(_MERGE).fetchall():
+            for w, tokens in self._db.execute(_MERGE if sizes[-1] <= 64 else _MERGE_RUNS).fetchall():
                 out[some[w]] = tuple(tokens)
             self._db.unregister("fresh")
         return out
@@ -160,31 +235,24 @@ class WordEncoder:
             return
         if len(self.ids) + len(new) > self.keep:
             self.ids.clear()
-            self._parts.clear()
             new = list(words)
-        split = {}
-        for w in new:
-            parts = _PARTS.findall(w) if w.isascii() else ()
-            if len(parts) > 1 and sum(map(len, parts)) == len(w):
-                split[w] = parts
-        ask = {p for parts in split.values() for p in parts if p not in self._parts}
-        ask = list(ask)
-        self._parts.update(zip(ask, self.merge(ask)))
-        whole = []
-        for w in new:
-            parts = split.get(w)
-            if parts is None:
-                if w in self._parts:
-                    self.ids[w] = self._parts[w]
-                else:
-                    whole.append(w)
+        if len(self._parts) > self.keep:
+            self._parts.clear()
+        split = [self.pieces(w) for w in new]
+        self._known(chain.from_iterable(split))
+        known, apart = self._parts, self._stay_apart
+        ids, open_words, rows = self.ids, [], []
+        for w, parts in zip(new, split):
+            if len(parts) == 1:
+                ids[w] = known[parts[0]]
                 continue
-            known = [self._parts[p] for p in parts]
-            if all(self._stay_apart(x[-1], y[0]) for x, y in zip(known, known[1:])):
-                self.ids[w] = tuple(chain.from_iterable(known))
+            row = [known[p] for p in parts]
+            if all([apart(x[-1], y[0]) for x, y in zip(row, row[1:])]):
+                ids[w] = tuple(chain.from_iterable(row))
             else:
-                whole.append(w)
-        self.ids.update(zip(whole, self.merge(whole)))
+                open_words.append(w)
+                rows.append(row)
+        ids.update(zip(open_words, self.assemble(rows)))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; an empty list for null and empty ones."""

@@ -1,4 +1,6 @@
+import base64
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -36,6 +38,26 @@ def test_composition_equals_the_recursive_query():
     assert [encoder.ids[w] for w in words] == WordEncoder(BYTE_BPE_50K).merge(words)
 
 
+def test_scripts_without_blanks_and_very_long_words(public):
+    rng = random.Random(9)
+    letters = lambda lo, hi, n: "".join(chr(rng.randint(lo, hi)) for _ in range(n))
+    texts = {
+        "ideographs": "，".join(letters(0x4E00, 0x9FA5, rng.randint(8, 40)) for _ in range(1200)),
+        "Thai": "".join(chr(rng.choice([*range(0xE01, 0xE2F), *range(0xE30, 0xE3A), *range(0xE40, 0xE47)])) for _ in range(30_000)),
+        "Hangul": " ".join(letters(0xAC00, 0xD7A3, rng.randint(1, 6)) for _ in range(5000)),
+        "Cyrillic": letters(0x430, 0x44F, 20_000),
+        "base64": base64.b64encode(rng.randbytes(90_000)).decode(),
+        "digits": "".join(rng.choice("0123456789") for _ in range(20_000)),
+        "one word": "".join(rng.choices(["lens", "ing", "the", "q", "anchor"], k=250_000)),
+        "one run": "=-" * 30_000 + "=" * 1_000_000,
+    }
+    encoder = WordEncoder(BYTE_BPE_50K)
+    for name, text in texts.items():
+        began = time.process_time()
+        assert encoder.encode([text]) == public([text]), name
+        assert time.process_time() - began < 10, name
+
+
 def test_rows_nulls_and_empty_tables(spark, public):
     docs = spark.createDataFrame([(1, "Hello world", 1), (2, None, 2), (3, "", 3), (4, "   ", 4), (4, "   ", 4)], "doc_id bigint, text string, ids int")
     rows = sorted((r["doc_id"], list(r["ids"])) for r in encode_documents(docs).collect())
