@@ -28,7 +28,7 @@ class Kinds:
     #: Where the group characters of each bracket begin; a group has up to 12 bits.
     BASES = {"B": 0xF0000, "P": 0xF1000, "S": 0xF2000, "T": 0xF3000, "J": 0xF4000, "U": 0xF5000}
     #: The kinds that are not written as the token itself.
-    FIXED = {"ID": "i", "NUM": "9", "STR": "s", "TPL": "t", "RX": "r", "LITERAL": "l", "PRIVATE": "p", "NL": "\n", "EOS": END}
+    FIXED = {"ID": "i", "NUM": "9", "STR": "s", "BYTES": "b", "TPL": "t", "RX": "r", "LITERAL": "l", "PRIVATE": "p", "NL": "\n", "EOS": END}
 
     def __init__(self) -> None:
         self.of: dict[str, str] = {}

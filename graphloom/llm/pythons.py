@@ -24,9 +24,12 @@ _STRING = (
 _NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
 _NUM = re.compile(_NUMBER)
 _LEADING = re.compile(r"0+[1-9_][\d_]*$")
-_TOKENS = re.compile(rf"{_STRING}|#[^\n]*|\\\n|\n[ \t\f]*|[^\W\d]\w*|(?:\d|\.\d)(?:[\w.]|(?<=[eE])[+-](?=\d))*|{'|'.join(re.escape(o) for o in sorted(_OPS, key=len, reverse=True))}|\S")
+_TOKENS = re.compile(rf"{_STRING}|#[^\n]*|\\\n|\n[ \t\f]*|[^\W\d]\w*|\d[\d_]*\.(?=\.[^\W\d])|(?:\d|\.\d)(?:[\w.]|(?<=[eE])[+-](?=\d))*|{'|'.join(re.escape(o) for o in sorted(_OPS, key=len, reverse=True))}|\S")
+#: Escapes that a literal (of text, of bytes) cannot hold.
+_BAD_ESCAPE = [re.compile(r"(?<!\\)(?:\\\\)*\\" + after) for after in (r"(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))", r"x(?![0-9a-fA-F]{2})")]
 _FIELD = re.compile(r"\{\{|\}\}|" + _INNER.replace(r"\n", "") + "|[{}]")
 _NAME = re.compile(r"\s*[A-Za-z_][\w.]*\s*(?:![rsa])?(?::[^{}]*)?\Z")
+_CONVERSION = re.compile(r"![rsa]\s*(?:[:}]|\Z)")
 _CLOSE = {"}": ("{", "B"), ")": ("(", "P"), "]": ("[", "S")}
 
 
@@ -61,8 +64,10 @@ class Pythons:
             return "9" if ok else "\0"
         if t[-1] in "\"'" and len(t) > 1:
             head = re.match(r"[A-Za-z]*", t).group().lower()
-            return "s" if "f" not in head or self._fields(t) else "\0"
-        return "i" if f.isalpha() or f == "_" or f.isidentifier() else "\0"
+            if "b" in head and not t.isascii() or "\\" in t and "r" not in head and _BAD_ESCAPE[("b" in head)].search(t):
+                return "\0"
+            return "b" if "b" in head else "s" if "f" not in head or self._fields(t) else "\0"
+        return "i" if t.isidentifier() else "\0"
 
     def _fields(self, token: str) -> bool:
         """Whether the replacement fields of an f-string parse."""
@@ -75,6 +80,8 @@ class Pythons:
             if m.group() in ("{{", "}}") or _NAME.match(inner):
                 continue
             for end in [*(n for n, ch in enumerate(inner) if ch in ":!="), len(inner)]:
+                if inner[end : end + 1] == "!" and not _CONVERSION.match(inner, end):
+                    continue
                 if self.fault("(" + inner[:end] + ")") is None and inner[:end].strip():
                     break
             else:
@@ -124,7 +131,7 @@ class Pythons:
         kinds = self._kinds
         parts: list[str] = []
         stack: list[tuple[list[str], str, int]] = []
-        blocks: list[list] = [[0, None, False]]  # indentation, last clause, whether it holds cases
+        blocks: list[list] = [[0, None, False, 0]]  # indentation, last clause, whether it holds cases, indentation with tabs of one column
         expect, cases, indent, begin = False, False, "", 0
         n = 0
 
@@ -137,12 +144,15 @@ class Pythons:
 
         def close(line: str, k: int) -> SyntaxFault | None:
             nonlocal expect, cases
-            width = len(indent.expandtabs(8).replace("\f", ""))
+            blanks = indent[indent.rfind("\f") + 1 :]
+            width, narrow = len(blanks.expandtabs(8)), len(blanks)
             found = self._line(line)
             if expect:
                 if width <= blocks[-1][0]:
                     return SyntaxFault(at(k), "expected an indented block")
-                blocks.append([width, None, cases])
+                if narrow <= blocks[-1][3]:
+                    return SyntaxFault(at(k), "tabs and blanks mixed")
+                blocks.append([width, None, cases, narrow])
             elif width > blocks[-1][0]:
                 return SyntaxFault(at(k), "unexpected indent")
             while width < blocks[-1][0]:
@@ -150,6 +160,8 @@ class Pythons:
                     return SyntaxFault(at(k), "a clause is missing")
             if width != blocks[-1][0]:
                 return SyntaxFault(at(k), "unindent matches no level")
+            if narrow != blocks[-1][3]:
+                return SyntaxFault(at(k), "tabs and blanks mixed")
             if found is None:
                 return SyntaxFault(at(k), "no statement derives this line")
             kind, expect = found

@@ -112,22 +112,17 @@ class WordEncoder:
 
     def pieces(self, word: str) -> list[str]:
         """The parts a word is put together from, itself if it is short and simple."""
-        if word.isascii():
-            parts = _PARTS.findall(word)
-            if sum(map(len, parts)) != len(word):
-                parts = [word]
-        else:
-            parts = _LETTERS.findall(word)
-            if sum(map(len, parts)) != len(word):
-                parts = [word]
-        if len(word) * 4 > self.longest:  # it may be longer than that in bytes
-            size = self.longest // 2
-            out = []
-            for p in parts:
-                step = size if p.isascii() else size // 4
-                out += [p] if len(p) <= 2 * step else [p[at : at + step] for at in range(0, len(p), step)]
-            return out
-        return parts
+        ascii_only = word.isascii()
+        parts = (_PARTS if ascii_only else _LETTERS).findall(word)
+        if sum(map(len, parts)) != len(word):
+            parts = [word]
+        if len(word) <= (self.longest if ascii_only else self.longest // 4):  # so many bytes at most
+            return parts
+        step = self.longest // 2 if ascii_only else self.longest // 8
+        out = []
+        for p in parts:
+            out += [p] if len(p) <= 2 * step else [p[at : at + step] for at in range(0, len(p), step)]
+        return out
 
     def _known(self, parts: Iterable[str]) -> None:
         """Makes ``_parts`` hold the tokens of all the given parts."""

@@ -7,6 +7,8 @@ import pytest
 
 from graphloom.llm.syntax import error_rates, first_error, parser, syntax_errors, unreliable_notes
 
+from .snippets import python_snippets
+
 JS = """const a = 1;\nlet b = a ? (x) : y => z\nfoo()\n[1,2].map(x => x*2)
 ====
 for (const x of y) { x += 1 }
@@ -104,3 +106,16 @@ def test_flags_rates_and_notes(spark):
     files = spark.createDataFrame([(r + "a.ts", "boom", 2), (r + "a.ts", None, 1), (r + "b.TS", None, 1)], "path string, errors string, indexed_at bigint")
     assert {tuple(x) for x in unreliable_notes(found, files).collect()} == {(r + "a.ts", True, True), (r + "b.TS", False, False)}
     assert syntax_errors(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_python_snippets_agree_with_the_interpreter():
+    warnings.simplefilter("ignore")
+    texts = python_snippets()
+    assert len(texts) > 1000
+    for text in texts:
+        try:
+            ast.parse(text)
+            valid = True
+        except (SyntaxError, ValueError):
+            valid = False
+        assert (parser("py").fault(text) is None) == valid, text
