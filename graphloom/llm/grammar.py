@@ -74,6 +74,10 @@ class Grammar:
         self.rule = {n: p[0] for n, p in self._parsers.items()}
         self._cells = {b: [(bit, *self._entry(f"{b}.{n}")) for n, bit in bits.items() if f"{b}.{n}" in rules and rules[f"{b}.{n}"] != "NEVER"] for b, bits in self.bits.items()}
 
+    def assignable(self, s: str, i: int) -> bool:
+        """Whether what ends before i can be assigned to; a dialect replaces it."""
+        return True
+
     def _entry(self, name: str) -> tuple[frozenset | None, Parser]:
         chars, void = self._starts[name]
         return (None if void else chars), self.rule[name]
@@ -121,6 +125,8 @@ class Grammar:
             node = Node("seq")
         elif t == "NEVER":
             node = one("")
+        elif t == "LHS":
+            node = Node("lhs")
         elif t in self._sets:
             node = one([self.kinds.char(w) for w in self._sets[t]] + list("l" if t == "RESERVED" else ""))
         elif t in Kinds.FIXED:
@@ -137,7 +143,7 @@ class Grammar:
             return node.chars, False
         if node.kind == "rule":
             return self._starts[node.name]
-        if node.kind in "&!":
+        if node.kind in ("&", "!", "lhs"):
             return frozenset(), True
         if node.kind in ("*", "?"):
             return self._first(node.parts[0])[0], True
@@ -171,6 +177,8 @@ class Grammar:
                 return target[0](s, i) if void or s[i] in chars else -1
 
             return call
+        if kind == "lhs":
+            return lambda s, i: i if self.assignable(s, i) else -1
         parts = [self._compile(p) for p in node.parts]
         if kind == "seq":
             if len(parts) == 2:

@@ -32,6 +32,10 @@ _NUM = re.compile(_NUMBER)
 _RUN = {stop: re.compile(rf"""(?:[^"'`/{re.escape(stop)}]+|{_STRING})+""") for stop in ("", "<", "{}", "<{}")}
 _SKIP = re.compile(rf"{_COMMENT}")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
+_ESCAPE = re.compile(r"\\.")
+_CLASS = re.compile(r"\[[^\]]*\]")
+_GROUP = re.compile(r"\((?:\?(?:[:=!]|<[=!]|<[^>]*>|[a-z-]+:))?")
+_NOTHING_REPEATS = re.compile(r"(?:^|[(|])[*+?]|\*\*|\+\+|\?\?\?|[*+]\*|\*\+")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s+[^>])")
 _TAG = re.compile(r"\s*([A-Za-z_$][\w$.:-]*)?")
@@ -40,6 +44,21 @@ _ARGUMENTS = re.compile(r"<[^<>{}]*(?:<[^<>{}]*>[^<>{}]*)*>")
 _TEXT = re.compile(r"[^{<}>]*")
 
 
+def _well_formed(literal: str) -> bool:
+    """Whether a regular expression's groups are balanced, its repetitions repeat and its flags exist."""
+    body, _, flags = literal[1:].rpartition("/")
+    if len(set(flags)) < len(flags) or not set(flags) <= set("dgimsuvy") or {"u", "v"} <= set(flags):
+        return False
+    plain = _CLASS.sub("c", _ESCAPE.sub("e", body))
+    plain = _GROUP.sub("(", plain)
+    depth = 0
+    for ch in plain:
+        depth += (ch == "(") - (ch == ")")
+        if depth < 0:
+            return False
+    return not depth and not _NOTHING_REPEATS.search(plain)
+
+
 class SyntaxFault(Exception):
     """The first place at which no parse can go on."""
 
@@ -90,6 +109,12 @@ class Scripts:
         bits = g.bits["B"]
         self._flat = {bits[n] for n in ("object", "pattern", "names", "enum", "hole") if n in bits}
         self._typed = bits.get("type", 0)
+        self._flat.add(bits["target"])
+        self._ids = {"i", *(c[w] for w in CONTEXTUAL)}
+        self._names = {"l", "p", *(c[w] for w in RESERVED if w in c), c["this"]}
+        self._ends = {"9", "s", "t", "r"} | self._ids | self._names
+        self._dot, self._maybe, self._bang = c["."], c["?."], "" if dialect == "js" else c["!"]
+        g.assignable = self._assignable
         self._cells: dict[tuple[str, str], str] = {}
 
     def _kind(self, token: str) -> str:
@@ -106,6 +131,31 @@ class Scripts:
             return "p"
         return "i" if f.isalpha() or f in "_$\\" and len(token) > len(f) - (f in "_$") else "\0"
 
+    def _assignable(self, s: str, i: int) -> bool:
+        """Whether the operand that ends before i can be assigned to, by its last kinds.
+
+        A name or an index can, unless an optional chain leads to it; a group can if
+        its content can, and a call cannot.
+        """
+        ch, before = s[i - 1], s[i - 2] if i > 1 else ""
+        if ch in self._ids:
+            return before != self._maybe
+        if ch in self._names:
+            return before == self._dot
+        if ch == self._bang:
+            return self._assignable(s, i - 1)
+        bracket = next((b for b in "BPS" if 0 <= ord(ch) - Kinds.BASES[b] < 0x1000), "")
+        if not bracket:
+            return False
+        if bracket == "S" and before:
+            if before in self._ends or before == self._bang or ord(before) >= Kinds.BASES["B"]:
+                return before != self._maybe
+        if bracket == "P" and before and (before in self._ids or before in "9str" or Kinds.BASES["S"] <= ord(before)):
+            return False
+        if bracket == "B" and before and (before in self._ids or ord(before) >= Kinds.BASES["P"]):
+            return False  # a body, of a function or class
+        return bool((ord(ch) - Kinds.BASES[bracket]) & self.g.bits[bracket]["target"])
+
     # -- tokens -----------------------------------------------------------
 
     def _tokens(self, text: str, out: list[str]) -> None:
@@ -140,7 +190,7 @@ class Scripts:
                     at += len(op)
                     continue
                 m = _REGEX.match(text, at)
-                if not m:
+                if not m or not _well_formed(m.group()):
                     raise SyntaxFault(at, "unterminated regular expression")
                 out.append("/re/")
                 at = m.end()

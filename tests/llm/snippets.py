@@ -24,3 +24,43 @@ def python_snippets() -> list[str]:
     out += [f"def f({p}): pass" for p in _PARAMETERS] + [f"lambda {p}: 0" for p in _PARAMETERS]
     out += [form.format(v) for v in _VALUES if "{" not in v and "}" not in v for form in ("x = {}", "f({})", "[{}]")]
     return out + ["x = " + v for v in _VALUES if "{" in v or "}" in v] + _LINES
+
+
+#: What can be assigned to in a script, what cannot, and the places of an assignment.
+_PLACES = ["a", "a.b", "a[0]", "f().a", "f()[0]", "a.b.c", "(a)", "(a.b)", "this.a", "new A().b", "a.if", "`x`.y", "a.b(c).d", "(f()).a"]
+_VALUES_ONLY = ["f()", "a.f()", "1", "'a'", "null", "this", "(a + b)", "a?.b", "a?.[0]", "new A()", "(f())", "`a`", "/a/", "(x => y)", "a[0]()", "function () {}"]
+_ASSIGNED = ["x = {} = 1", "x = {} += 1", "x = {}++", "x = --{}", "for ({} of x) ;", "[{}] = x", "({{a: {}}} = x)", "[...{}] = x"]
+BAD_JS = [
+    "const x;", "f() = 1", "0++", "(...a, b) => 1", "function f(...a, b){}", "({get a(x){}})", "({set a(){}})", "/(/", "a ?? b || c", "a && b ?? c", "-1 ** 2", "++f()", "f()++",
+    "[...a, b] = c", "let {a, ...b, c} = d", "let [a];", "const {a};", "a + b = c", "a?.b = 1", "(a, b) = 1", "(f()) = 1", "for (f() of x) ;", "this = 1", "true = 1", "'a' = 1",
+    "`a` = 1", "/a/gg", "/a/x", "/+/", "new f() = 1", "a.b() = 1", "[f()] = x", "({a: f()} = x)", "typeof a ** 2", "!a ** 2", "function f(a, ...b,){}", "[...a,] = b", "super = 1",
+    "x => {} = 1", "a++ = 1", "++a++", "a ? b : c = d = 1 = 2",
+]
+GOOD_JS = [
+    "a => {}\n(b)", "(a) = 1", "(a.b) = 1", "[a, b] = [b, a]", "[a.b, c[0], ...d] = e", "({a, b: c.d, ...e} = f)", "({a = 1} = b)", "f(x)[0] = 1", "f().a = 1", "a.b.c++", "a[0]--",
+    "++a[0]", "(-1) ** 2", "2 ** -1", "a ** b ** c", "(a ?? b) || c", "a ?? (b || c)", "a ?? b ?? c", "a || b && c", "a.if = 1", "a.this = 1", "if (a) [b] = c", "if (a) (b) = c",
+    "for ([a, b] of c) ;", "for (a.b of c) ;", "for (const [a, b] of c) ;", "for (const a in b) ;", "for (let i = 0, n = 1; i < n; i++) ;", "const {a, ...b} = c", "let a, b = 1",
+    "var {a} = b, [c] = d", "({get a(){}, set a(b){}, get: 1, set: 2, get(){}, async a(){}})", "class A { get a(){} set a(b){} static get c(){} get(){} set(a){} static async *d(){} }",
+    "/[(]/", "/\\(/", "/(?:a)(?=b)(?<!c)(?<n>d)/giu", "/a+?b*?c??/", "/a{1,2}/", "x = y = z", "x += y -= 1", "a ??= b", "[a = 1, [b]] = c", "({[a]: b} = c)", "delete a.b", "await a",
+    "async () => { await a ** 2 }", "(a, b) => a", "({...a, b} )", "f(...a, b)", "[...a, b]", "let async; async = 1", "(async)[0] = 1", "a\n++b", "{ a }\n[b] = c",
+    "x = function(){}\n(b)", "for (a of b) c\n", "while(a) (b)++", "new A().b = 1", "new A()[0] = 1", "`${a}`.b = 1", "this.a = 1", "super_.a = 1", "a = b ? c : d",
+    "a = b ? (c) : d => e", "let [] = a, {} = b", "[, a] = b", "[a, , b] = c", "({} = a)", "[] = a", "export const a = 1", "for (var a = 0; ; ) ;", "label: for (;;) break label",
+]
+GOOD_TS = [
+    "a! = 1", "a!.b = 1", "(a as any) = 1", "(a as any).b = 1", "(<any>a).b = 1", "declare const x: number", "const x: number = 1", "function f(this: A, a?: B, ...c: D[]): E {}",
+    "let x!: number", "a! += 1", "a![0]++", "class A { constructor(private readonly a: B, public c = 1) {} get x(): number { return 1 } set x(v: number) {} }",
+    "const f = <T,>(a: T, ...b: T[]): T => a", "for (const a of b as C[]) {}", "x = a as B ?? c", "x = y satisfies Z", "abstract class A { abstract get a(): B; abstract set a(b: B) }",
+    "type F = (a: number, ...b: string[]) => void", "interface A { (a: B, ...c: D[]): E; new (...a: B[]): C }", "export abstract class A<T> { protected a?: T }",
+    "let {a, b}: {a: A, b: B} = c", "function f({a, b}: C = {}) {}", "enum A { B = 1 << 0, C }", "x = <T>y", "let a = b! as C",
+]
+BAD_TS = [
+    "f() = 1", "a ?? b || c", "-1 ** 2", "function f(...a: A[], b: B){}", "let x: = 1", "0++", "a?.b = 1", "class A { x: }", "(a, ...b, c) => 1", "const [...a, b] = c",
+]
+
+
+def script_snippets() -> dict[str, list[tuple[str, bool]]]:
+    """Texts of each dialect, with whether they are valid."""
+    shared = [(f.format(p), ok) for f in _ASSIGNED for some, ok in ((_PLACES, True), (_VALUES_ONLY, False)) for p in some]
+    js = shared + [(t, True) for t in GOOD_JS] + [(t, False) for t in BAD_JS]
+    typed = [(f.format(p), True) for f in _ASSIGNED for p in ("a!", "a!.b", "a![0]", "(a as B)", "(<B>a)", "(a as B).c")]
+    return {"js": js, "ts": shared + typed + [(t, True) for t in GOOD_JS + GOOD_TS] + [(t, False) for t in BAD_TS]}

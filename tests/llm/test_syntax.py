@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.llm.syntax import error_rates, first_error, parser, syntax_errors, unreliable_notes
 
-from .snippets import python_snippets
+from .snippets import python_snippets, script_snippets
 
 JS = """const a = 1;\nlet b = a ? (x) : y => z\nfoo()\n[1,2].map(x => x*2)
 ====
@@ -119,3 +119,11 @@ def test_python_snippets_agree_with_the_interpreter():
         except (SyntaxError, ValueError):
             valid = False
         assert (parser("py").fault(text) is None) == valid, text
+
+
+@pytest.mark.parametrize("dialect", ["js", "ts"])
+def test_script_snippets(dialect):
+    texts = script_snippets()[dialect]
+    assert len(texts) > 300
+    for text, valid in texts:
+        assert (parser(dialect).fault(text) is None) == valid, text
