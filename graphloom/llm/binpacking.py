@@ -25,16 +25,70 @@ def best_fit(sizes: list[int], items: list[int], bins: Bins, room: list[int], ca
             insort(free, (room[b], b))
 
 
+def tight_fit(sizes: list[int], capacity: int, rng: random.Random, tries: int = 8) -> Bins:
+    """Fills bin after bin: the largest item left, then what leaves the least room.
+
+    Of some random companions, each with its best-fitting third, and the single best
+    fit, the tightest is taken; then best fits until nothing goes in.
+    """
+    free = sorted((z, i) for i, z in enumerate(sizes))
+    bins: Bins = []
+    while free:
+        z, i = free.pop()
+        own, room = [i], capacity - z
+        while room and free:
+            top = bisect_left(free, (room + 1, -1))
+            if not top:
+                break
+            best, chosen = room - free[top - 1][0], (top - 1,)
+            for _ in range(tries if best else 0):
+                b = rng.randrange(top)
+                left = room - free[b][0]
+                c = bisect_left(free, (left + 1, -1)) - 1
+                if c == b:
+                    c -= 1
+                slack = left - free[c][0] if c >= 0 else left
+                if slack < best:
+                    best, chosen = slack, (b, c) if c >= 0 else (b,)
+            for at in sorted(chosen, reverse=True):
+                z, i = free.pop(at)
+                own.append(i)
+                room -= z
+        bins.append(own)
+    return bins
+
+
 def fitness(room: list[int], capacity: int) -> float:
     """The mean squared fill of the bins; greater is better."""
     return sum((1 - r / capacity) ** 2 for r in room) / max(1, len(room))
 
 
+def exchange(sizes: list[int], bins: Bins, room: list[int], free: list[int]) -> list[int]:
+    """Swaps items of bins for greater free ones that fill them better; what is free after."""
+    pool = sorted((sizes[i], i) for i in free)
+    for b, own in enumerate(bins):
+        if not pool:
+            break
+        n = 0
+        while room[b] and n < len(own):
+            z = sizes[own[n]]
+            at = bisect_left(pool, (z + room[b] + 1, -1)) - 1
+            if at >= 0 and pool[at][0] > z:
+                bigger, i = pool.pop(at)
+                insort(pool, (z, own[n]))
+                own[n] = i
+                room[b] -= bigger - z
+            n += 1
+    return [i for _, i in pool]
+
+
 def cross(sizes: list[int], capacity: int, donor: Bins, host: Bins, rng: random.Random) -> Bins:
     """Injects well-filled bins of the donor, whole, into the host.
 
     Bins of the host that hold an injected item are dissolved, so nothing occurs
-    twice; their other items are displaced and best-fitted again.
+    twice. As mutation the emptiest of the kept bins and some random ones are opened
+    too. What is displaced is first exchanged against smaller items of the kept
+    bins, where that fills them better, and then best-fitted.
     """
     fill = [sum(sizes[i] for i in b) for b in donor]
     ranked = sorted(range(len(donor)), key=lambda b: -fill[b])
@@ -47,13 +101,13 @@ def cross(sizes: list[int], capacity: int, donor: Bins, host: Bins, rng: random.
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in injected]
-    # the emptiest of the kept bins are reopened too, which is the mutation
     kept.sort(key=lambda b: sum(sizes[i] for i in b))
-    for _ in range(min(len(kept), 1 + len(kept) // 20)):
-        displaced += kept.pop(0)
-    bins = [list(donor[b]) for b in chosen] + kept
+    opened = set(range(min(len(kept), 1 + len(kept) // 20)))
+    opened |= {rng.randrange(len(kept)) for _ in range(len(kept) // 10)}
+    displaced += [i for n in opened for i in kept[n]]
+    bins = [list(donor[b]) for b in chosen] + [b for n, b in enumerate(kept) if n not in opened]
     room = [capacity - sum(sizes[i] for i in b) for b in bins]
-    best_fit(sizes, displaced, bins, room, capacity)
+    best_fit(sizes, exchange(sizes, bins, room, displaced), bins, room, capacity)
     return bins
 
 
@@ -67,12 +121,8 @@ def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, genera
         bins, room = [], []
         if len(everyone) == len(start):
             best_fit(sizes, list(range(len(sizes))), bins, room, capacity)
-        else:  # first half in random order by blocks, so that the packings differ
-            order = list(range(len(sizes)))
-            rng.shuffle(order)
-            cut = len(order) // 2
-            best_fit(sizes, order[:cut], bins, room, capacity)
-            best_fit(sizes, order[cut:], bins, room, capacity)
+        else:
+            bins = tight_fit(sizes, capacity, rng)
         everyone.append(bins)
 
     def score(bins: Bins) -> tuple[int, float]:

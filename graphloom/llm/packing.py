@@ -13,30 +13,26 @@ from graphloom.workspace import Scratch
 _OUT = "container_kind string, capacity int, shard bigint, island int, bin int, item_id bigint, doc_id bigint, part int, tokens int"
 
 
-def _chromosomes(rows: pd.DataFrame, sizes: dict[int, int]) -> list[list[list[int]]]:
-    return [[list(b) for b in own.groupby("bin")["n"].agg(list)] for _, own in rows.groupby("island", sort=True)]
-
-
-def _island(generations: int, population: int, island: int | None):
-    """The step of one group: evolve its items, from the elites it was sent if any."""
+def _island(generations: int, population: int):
+    """The step of one island: evolve its items from the packings that came to it, if any."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["item_id", "island"], kind="stable")
         items = rows.drop_duplicates("item_id").reset_index(drop=True)
         rows["n"] = rows["item_id"].map({k: n for n, k in enumerate(items["item_id"])})
-        sizes, capacity, shard = items["tokens"].tolist(), int(items["capacity"].iat[0]), int(items["shard"].iat[0])
-        own = int(items["island"].iat[0]) if island is None else island
-        start = _chromosomes(rows, sizes) if (rows["bin"] >= 0).all() else []
-        best = evolve(sizes, capacity, start, shard * 31 + own, generations, max(population, len(start)))
+        sizes, capacity, shard, home = items["tokens"].tolist(), int(items["capacity"].iat[0]), int(items["shard"].iat[0]), int(items["home"].iat[0])
+        settled = rows[rows["bin"] >= 0]
+        start = [[list(b) for b in own.groupby("bin")["n"].agg(list)] for _, own in settled.groupby("island", sort=True)]
+        best = evolve(sizes, capacity, start, shard * 31 + home, generations, max(population, len(start)))
         where = {i: b for b, members in enumerate(best) for i in members}
         items["bin"] = [where[n] for n in range(len(items))]
-        items["island"] = own
+        items["island"] = home
         return items[[c.split()[0] for c in _OUT.split(", ")]]
 
     return run
 
 
-def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str = BYTE_BPE_50K, shard_items: int = 2000, islands: int = 2, generations: int = 3, population: int = 3, closed: float = 0.97) -> DataFrame:
+def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str = BYTE_BPE_50K, shard_items: int = 2000, islands: int = 2, migrations: int = 2, generations: int = 6, population: int = 4, closed: float = 0.97) -> DataFrame:
     """Every document in containers of each kind: who is in which container.
 
     Columns: container_kind, container_id string, doc_id, part int (from 0), tokens
@@ -90,8 +86,12 @@ def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str
         count = F.create_map(*[F.lit(x) for kn in shards.items() for x in kn])
         spread = F.pmod(F.xxhash64("item_id", F.lit(level)), count[F.col("container_kind")])
         seeds = loose.withColumn("shard", spread).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1))
-        elites = seeds.select(*cols).groupBy("container_kind", "capacity", "shard", "island").applyInPandas(_island(generations, population, None), _OUT)
-        packed = elites.groupBy("container_kind", "capacity", "shard").applyInPandas(_island(generations, population, -1), _OUT)
+        groups = ["container_kind", "capacity", "shard", "home"]
+        step = lambda rows, home: rows.withColumn("home", home).groupBy(*groups).applyInPandas(_island(generations, population), _OUT)
+        elites = step(seeds.select(*cols), F.col("island"))
+        for _ in range(migrations - 1):
+            elites = step(elites, F.explode(F.array("island", (F.col("island") + 1) % islands)))
+        packed = step(elites, F.lit(-1))
         packed = scratch.save(packed, "packed")
         last = count[F.col("container_kind")] == 1
         fill = packed.groupBy(*keys).agg(F.sum("tokens").alias("used"))
@@ -112,3 +112,22 @@ def packing_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     return used.join(F.broadcast(rooms), "container_kind").select(
         "container_kind", "n_containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_possible"), F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 4).alias("fill")
     )
+
+
+def packing_faults(packed: DataFrame, counted: DataFrame, containers: DataFrame) -> DataFrame:
+    """What a packing lost or broke, per kind: container_kind, n_docs, lost, overfull, divided.
+
+    n_docs is the number of distinct documents placed, lost those whose parts do not
+    sum to their tokens, overfull the containers above capacity, divided the
+    documents in several parts that would fit one container.
+    """
+    rooms = F.broadcast(containers.select("container_kind", F.col("capacity_tokens").alias("capacity")).filter("container_kind is not null and capacity > 0").distinct())
+    wanted = counted.filter("doc_id is not null").groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("longest"), F.count("*").alias("copies"))
+    parts = packed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    both = wanted.crossJoin(rooms).join(parts, ["container_kind", "doc_id"], "left")
+    placed = F.col("tokens").eqNullSafe(F.col("n_tokens"))
+    cut = (F.col("parts") > F.col("copies")) & (F.col("longest") <= F.col("capacity"))
+    docs = both.groupBy("container_kind").agg(F.count("parts").alias("n_docs"), F.count_if(~placed).alias("lost"), F.count_if(cut).alias("divided"))
+    used = packed.filter("tokens > 0").groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("used")).join(rooms, "container_kind")
+    over = used.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return docs.join(over, "container_kind", "left").select("container_kind", "n_docs", "lost", F.coalesce("overfull", F.lit(0)).alias("overfull"), "divided")

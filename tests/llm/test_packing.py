@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from graphloom.llm.binpacking import best_fit, cross, evolve
+from graphloom.llm.binpacking import best_fit, cross, evolve, tight_fit
 from graphloom.llm.packing import pack_documents, packing_report
 
 
@@ -29,6 +29,27 @@ def test_genetic_steps_keep_packings_whole():
         assert len(best) <= len(other)
 
 
+def test_evolution_beats_best_fit_where_the_optimum_is_known():
+    rng = random.Random(4)
+    triplets, cuts = [], []
+    for _ in range(666):  # each bin is exactly three items
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        triplets += [a, b, 1000 - a - b]
+        places = [0, *sorted(rng.sample(range(1, 1000), rng.randint(1, 3))), 1000]
+        cuts += [y - x for x, y in zip(places, places[1:])]
+    for sizes, gap, gain in ((triplets, 8, 90), (cuts, 1, 0)):
+        greedy: list = []
+        best_fit(sizes, list(range(len(sizes))), greedy, [], 1000)
+        best = evolve(sizes, 1000, [], 1, 6, 4)
+        check(sizes, 1000, best)
+        assert len(best) <= 666 + gap and len(best) <= len(greedy) - gain
+    few: list = []
+    best_fit(triplets[:60], list(range(60)), few, [], 1000)
+    first = len(tight_fit(triplets[:60], 1000, random.Random(1)))
+    assert len(evolve(triplets[:60], 1000, [], 1, 60, 8)) <= min(first, len(few))
+
+
 def test_documents_in_containers(spark):
     rng = random.Random(2)
     docs = [(n, " word" * rng.choice([1, 3, 7, 20, 45, 130])) for n in range(400)] + [(400, None), (401, ""), (402, "x"), (402, "x"), (None, "gone")]
