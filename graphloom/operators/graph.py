@@ -46,12 +46,16 @@ def fold(text: Column) -> Column:
 def live_edges(nodes: DataFrame, edges: DataFrame, from_package: str | None = None, to_package: str | None = None) -> DataFrame:
     """Edges whose two ends exist, with optional package conditions on both.
 
-    Equi-joins on ids; a hot end is split by the handling of skew. A null package
-    never equals a wanted one.
+    Stored edges know their ends; of others they are looked up by equi-joins on ids,
+    in which a hot end is split by the handling of skew. A null package never equals
+    a wanted one.
     """
-    a = nodes.select(F.col("id").alias("source"), F.col("package_id").alias("from_package"))
-    b = nodes.select(F.col("id").alias("target"), F.col("package_id").alias("to_package"))
-    rows = edges.join(a, "source").join(b, "target")
+    if "live" in edges.columns:
+        rows = edges.filter("live")
+    else:
+        a = nodes.select(F.col("id").alias("source"), F.col("package_id").alias("from_package"))
+        b = nodes.select(F.col("id").alias("target"), F.col("package_id").alias("to_package"))
+        rows = edges.join(a, "source").join(b, "target")
     if from_package is not None:
         rows = rows.filter(F.col("from_package") == from_package)
     if to_package is not None:

@@ -22,6 +22,16 @@ def _union(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _grown(spark, level: DataFrame, depth: int, grow) -> list[DataFrame]:
+    """The levels of a traversal. Each is saved before the next grows from it, so that none
+    is computed twice and its known size decides how it meets the edges."""
+    scratch, levels = Scratch(spark, "levels"), [level]
+    for hop in range(2, depth + 1):
+        levels[-1] = scratch.save(levels[-1], "level")
+        levels.append(grow(levels[-1], hop))
+    return levels
+
+
 def _named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.col("name").alias("node_name"))
     return rows.join(own, "node_id").select("hops", "edge_id", "edge_type", "node_id", "node_type", "node_name", F.array_join("path", " -> ").alias("via"))
@@ -40,11 +50,9 @@ def dependencies(nodes: DataFrame, edges: DataFrame, root: str, downstream: bool
     first = step.filter(F.col("at") == root)
     guard = F.array("at", "next") if downstream else F.array("next", "at")
     level = first.select(F.lit(1).alias("hops"), "edge_id", "edge_type", F.col("next").alias("node_id"), F.array("at", "next").alias("path"), guard.alias("guard"))
-    levels = [level]
-    for hop in range(2, depth + 1):
-        grown = level.select("node_id", "path", "guard").join(step, F.col("node_id") == F.col("at")).filter(~F.array_contains("guard", F.col("next")))
-        level = grown.select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("next").alias("node_id"), F.array_append("path", F.col("next")).alias("path"), F.array_append("guard", F.col("next") if downstream else F.col("at")).alias("guard"))
-        levels.append(level)
+    levels = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path", "guard")
+        .join(step, F.col("node_id") == F.col("at")).filter(~F.array_contains("guard", F.col("next")))
+        .select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("next").alias("node_id"), F.array_append("path", F.col("next")).alias("path"), F.array_append("guard", F.col("next") if downstream else F.col("at")).alias("guard")))
     return _named(_union(levels), nodes)
 
 
@@ -58,12 +66,10 @@ def callers(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1) -> Da
     kinds = nodes.filter(F.col("type").isin("function", "file")).select(F.col("id").alias("source"))
     first = live.filter(F.col("target") == root).join(kinds, "source", "left_semi")
     level = first.select(F.lit(1).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array("target", "source").alias("path"))
-    levels = [level]
     step = live.select("edge_id", "edge_type", "source", "target")
-    for hop in range(2, depth + 1):
-        grown = level.select("node_id", "path").join(step, F.col("node_id") == F.col("target")).filter(~F.array_contains("path", F.col("source")))
-        level = grown.select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array_append("path", F.col("source")).alias("path"))
-        levels.append(level)
+    levels = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path")
+        .join(step, F.col("node_id") == F.col("target")).filter(~F.array_contains("path", F.col("source")))
+        .select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array_append("path", F.col("source")).alias("path")))
     return _named(_union(levels), nodes)
 
 
@@ -71,28 +77,46 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 20) -> Da
     """The shortest path over all edge types: hops, path; empty if there is none.
 
     Of equally short paths the least array is taken. start = goal needs a self-loop.
-    Each level keeps the least path per newly reached node, so the work is bounded by
-    the edges, not by the number of paths.
+    The search grows from both ends, always on the side with the smaller frontier,
+    and keeps sets of nodes per level, no paths. From where the sides meet, each
+    level is cut back to the nodes on shortest paths; the path is then read off, one
+    least neighbour per step.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "path")
-    step = edges.select("source", "target").distinct()
-    frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
-    seen = frontier.select("node").limit(0) if start == goal else frontier.select("node")
-    empty = spark.createDataFrame([], "hops int, path array<string>")
-    for hop in range(1, most + 1):
-        grown = frontier.join(step, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        if start == goal:
-            grown = grown.filter((F.col("node") == goal) if hop == 1 else F.lit(False))
-        fresh = grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = scratch.save(fresh.select("node", "path"), "frontier")
-        hit = frontier.filter(F.col("node") == goal).select(F.lit(hop).alias("hops"), "path")
-        if not hit.isEmpty():
-            return hit
-        if frontier.isEmpty():
-            break
-        seen = scratch.save(seen.unionByName(frontier.select("node")), "seen")
-    return empty
+    step = edges.select("source", "target")
+
+    def answer(path: list[str] | None) -> DataFrame:
+        return spark.createDataFrame([(len(path) - 1, path)] if path else [], "hops int, path array<string>")
+
+    if start == goal:
+        return answer(None if step.filter((F.col("source") == start) & (F.col("target") == start)).isEmpty() else [start, start])
+    ends = [spark.createDataFrame([(n,)], "node string") for n in (start, goal)]
+    sides, sizes, meeting = [[ends[0]], [ends[1]]], [1, 1], None
+    while meeting is None:
+        if len(sides[0]) + len(sides[1]) - 2 >= most:
+            return answer(None)
+        n = 0 if sizes[0] <= sizes[1] else 1
+        near, far = ("source", "target") if n == 0 else ("target", "source")
+        grown = sides[n][-1].join(step, F.col("node") == F.col(near)).select(F.col(far).alias("node")).filter("node is not null").distinct()
+        level = scratch.save(grown.join(_union(sides[n]), "node", "left_anti"), "level")
+        sizes[n] = level.count()
+        if not sizes[n]:
+            return answer(None)
+        sides[n].append(level)
+        both = scratch.save(level.join(sides[1 - n][-1], "node", "left_semi"), "both")
+        if not both.isEmpty():
+            meeting = both
+    before, after = sides
+    allowed = [meeting]  # the nodes on shortest paths, from the last level before the meeting back to the first
+    for level in before[-2:0:-1]:
+        into = step.join(allowed[0].withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node"))
+        allowed.insert(0, scratch.save(level.join(into, "node", "left_semi"), "allowed"))
+    allowed = allowed if len(before) > 1 else []
+    path = [start]
+    for level in [*allowed, *after[-2::-1]]:
+        path.append(step.filter(F.col("source") == path[-1]).join(level.withColumnRenamed("node", "target"), "target", "left_semi").agg(F.min("target")).first()[0])
+    return answer(path)
 
 
 def path_labels(path: DataFrame, nodes: DataFrame) -> DataFrame:

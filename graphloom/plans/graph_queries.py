@@ -13,6 +13,7 @@ from graphloom.functions.paths import file_group, group_ordinal, impact_flags
 from graphloom.operators import audit, freshness, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans.star import STAR_SQL, star_edges, star_nodes
+from graphloom.sources.graph_store import graph_store
 from graphloom.sources.tables import table
 
 REGION = "region:/w/region:2"
@@ -22,12 +23,29 @@ LOG = "function:/srv/checkouts/_platform/runtime/src/log.ts:emitTrace"
 INDEX = "file:/srv/checkouts/_platform/runtime/src/index.ts"
 
 
+def _store(spark, d):
+    paths = [f"{d}/{t}.parquet" for t in ("nodes", "library_nodes", "edges")]
+    return graph_store(spark, "graph", paths, lambda: (clean_nodes(table(spark, d, "nodes"), table(spark, d, "library_nodes")), clean_edges(table(spark, d, "edges"))))
+
+
+def _star(spark, d):
+    paths = [f"{d}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")]
+    return graph_store(spark, "star", paths, lambda: (star_nodes(spark, d), star_edges(spark, d)))
+
+
 def _nodes(spark, d):
-    return clean_nodes(table(spark, d, "nodes"), table(spark, d, "library_nodes"))
+    return _store(spark, d).nodes
 
 
 def _edges(spark, d):
-    return clean_edges(table(spark, d, "edges"))
+    return _store(spark, d).edges.drop("live", "from_package", "to_package")
+
+
+def graph_stored(spark, d):
+    """Builds the stores of both graphs, if they are new, and counts them."""
+    parts = [(name, store.nodes, store.edges) for name, store in (("graph", _store(spark, d)), ("star", _star(spark, d)))]
+    rows = [n.agg(F.lit(name).alias("graph"), F.count("*").alias("n_nodes")).crossJoin(F.broadcast(e.agg(F.count("*").alias("n_edges"), F.count_if("live").alias("n_live")))) for name, n, e in parts]
+    return rows[0].unionByName(rows[1])
 
 
 def _hops(df):
@@ -42,7 +60,8 @@ def _busiest(edges):
 
 def _dependencies(root, downstream, depth, packages=(None, None), star=False):
     def query(spark, d):
-        nodes, edges = (star_nodes(spark, d), star_edges(spark, d)) if star else (_nodes(spark, d), _edges(spark, d))
+        graph = _star(spark, d) if star else _store(spark, d)
+        nodes, edges = graph.nodes, graph.edges
         at = root if root else _busiest(edges)
         return _hops(traverse.dependencies(nodes, edges, at, downstream, depth, *packages))
 
@@ -50,16 +69,16 @@ def _dependencies(root, downstream, depth, packages=(None, None), star=False):
 
 
 def _callers(depth):
-    return lambda spark, d: _hops(traverse.callers(_nodes(spark, d), _edges(spark, d), LOG, depth))
+    return lambda spark, d: _hops(traverse.callers(_nodes(spark, d), _store(spark, d).edges, LOG, depth))
 
 
 def path_shortest(spark, d):
-    found = traverse.shortest_path(star_edges(spark, d), "order:/w/orders:1", "nation:/w/nation:3")
+    found = traverse.shortest_path(_star(spark, d).edges, "order:/w/orders:1", "nation:/w/nation:3")
     return found.select("hops", F.array_join("path", " -> ").alias("route"))
 
 
 def path_labels(spark, d):
-    nodes, edges = star_nodes(spark, d), star_edges(spark, d)
+    nodes, edges = _star(spark, d).nodes, _star(spark, d).edges
     return traverse.path_labels(traverse.shortest_path(edges, "order:/w/orders:2", "region:/w/region:1"), nodes).select("pos", "label")
 
 
@@ -342,7 +361,7 @@ QUERIES = {
 QUERIES |= {
     f.__name__: f
     for f in (
-        path_shortest, path_labels, inspect, resolve_exact, resolve_partial, resolve_type_name, stats_totals, stats_nodes_by_type, stats_edges_by_type, stats_bars, stats_top_imported, stats_largest_files, stats_packages, tag_distribution, files_counts, files_pattern,
+        graph_stored, path_shortest, path_labels, inspect, resolve_exact, resolve_partial, resolve_type_name, stats_totals, stats_nodes_by_type, stats_edges_by_type, stats_bars, stats_top_imported, stats_largest_files, stats_packages, tag_distribution, files_counts, files_pattern,
         search_like, search_fts, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_buckets, impact_tests, orphan_edges, duplicate_nodes, missing_files, documentation_audit, stale_files, freshness_block, update_counters,
         delete_files, node_counts_per_file, placeholders, dedup_edges, canonical_edges, call_resolution, custom_edges_same_file, custom_edges_imported, custom_edges_all, package_owner, batch_plan, import_resolution, ingest_nodes, ingest_edges, stale_symbols, legacy_ids, legacy_fix_counts, legacy_edge_dedup, legacy_complexity, legacy_tested_by, legacy_import_recovery,
     )

@@ -144,6 +144,10 @@ def _named(text: str) -> str:
 
 
 ORACLES = {
+    "graph_stored": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {g} SELECT '{name}' AS graph, (SELECT count(*) FROM gn) AS n_nodes, count(*) AS n_edges, count(*) FILTER (WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)) AS n_live FROM ge) t"
+        for name, g in (("graph", _GRAPH), ("star", STAR_SQL))
+    ),
     "deps_up_d3": _deps(STAR_SQL, _REGION, False, 3),
     "deps_down_d3": _deps(STAR_SQL, "order:/w/orders:1", True, 3),
     "deps_up_d1": _deps(_GRAPH, _TYPE, False, 1),
@@ -185,7 +189,9 @@ SELECT file_path, file_group, CAST(list_position(['tests', 'routes', 'components
     "impact_buckets": rf"""WITH {_GRAPH} SELECT count(*) FILTER (WHERE type = 'field') AS fields, count(*) FILTER (WHERE type = 'schema') AS schemas, count(*) FILTER (WHERE type = 'function' AND regexp_matches(name, 'use[A-Z]')) AS hooks,
   count(*) FILTER (WHERE regexp_matches(file_path, '/app/.*/(?:page|layout|route)\.[jt]sx?$|/pages/.*\.[jt]sx?$|/api/.*\.(?:ts|tsx|js|jsx)$')) AS routes, count(*) FILTER (WHERE regexp_matches(file_path, '/components?/.*\.[jt]sx?$')) AS components FROM gn""",
     "impact_tests": rf"""WITH RECURSIVE {_GRAPH}, step AS (SELECT source, target FROM ge WHERE edge_type IN {_TRAVERSED} UNION SELECT target, source FROM ge WHERE edge_type IN {_TRAVERSED}),
-reach AS (SELECT '{_INDEX}' AS node, 0 AS hops UNION SELECT s.target, r.hops + 1 FROM reach r JOIN step s ON s.source = r.node WHERE r.hops < 2)
+held AS (SELECT target AS node FROM ge WHERE edge_type = 'contains' AND source = '{_INDEX}'),
+reach AS (SELECT node, 0 AS hops FROM (SELECT '{_INDEX}' AS node UNION SELECT node FROM held UNION SELECT id FROM gn WHERE 'file:' || file_path = '{_INDEX}' AND id <> '{_INDEX}' AND NOT EXISTS (SELECT 1 FROM held)) s
+  UNION SELECT s.target, r.hops + 1 FROM reach r JOIN step s ON s.source = r.node WHERE r.hops < 6)
 SELECT DISTINCT file_path FROM gn WHERE type = 'file' AND id IN (SELECT node FROM reach) AND regexp_matches(file_path, '\.(?:test|spec)\.tsx?|__tests__/|e2e/|playwright/')""",
     "orphan_edges": rf"""WITH {_GRAPH}, m AS (SELECT e.*, a.id IS NULL AS ns, b.id IS NULL AS nt FROM ge e LEFT JOIN gn a ON a.id = e.source LEFT JOIN gn b ON b.id = e.target)
 SELECT edge_id, edge_type, CASE WHEN ns AND nt THEN 'both' WHEN ns THEN 'source' ELSE 'target' END AS missing FROM m WHERE (ns OR nt) AND NOT (nt AND (contains(target, ':*:') OR starts_with(target, 'unresolved-call:')
@@ -210,7 +216,7 @@ FROM ge WHERE contains(target, ':*:') AND target NOT IN (SELECT id FROM gn)""",
     "custom_edges_imported": f"""WITH {_GRAPH}, pairs AS (SELECT DISTINCT s.file_path AS pf, t.file_path AS qf FROM ge e JOIN gn s ON s.id = e.source AND s.type = 'file' JOIN gn t ON t.id = e.target AND t.type = 'file' WHERE e.edge_type = 'imports'),
 a AS (SELECT id, file_path FROM gn WHERE type = 'class'), b AS (SELECT id, file_path FROM gn WHERE type = 'interface' AND starts_with(name, 'S'))
 SELECT a.id AS source, b.id AS target FROM a JOIN b ON b.file_path = a.file_path AND a.id <> b.id UNION ALL SELECT a.id, b.id FROM a JOIN pairs p ON p.pf = a.file_path JOIN b ON b.file_path = p.qf AND a.id <> b.id""",
-    "custom_edges_all": "SELECT DISTINCT a.id AS source, b.id AS target FROM library_nodes a, library_nodes b WHERE a.type = 'class' AND b.type = 'interface' AND a.id <> b.id",
+    "custom_edges_all": f"WITH {_GRAPH} SELECT a.id AS source, b.id AS target FROM gn a JOIN gn b ON b.type = 'interface' AND a.id <> b.id WHERE a.type = 'class'",
     "package_owner": f"WITH {_OWNER} SELECT path, coalesce(string_split(config_dir, '/')[-1], 'root') AS package_id, config_dir FROM owner",
     "batch_plan": f"WITH {_OWNER} SELECT path, config_dir, CAST((row_number() OVER (PARTITION BY config_dir ORDER BY path) - 1) // 32 AS INTEGER) AS batch FROM owner",
     "import_resolution": f"WITH {_SPECIFIERS} SELECT importer, specifier, target_path FROM resolved",
