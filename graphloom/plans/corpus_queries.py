@@ -103,10 +103,10 @@ ORACLES = {
 SELECT type, node_id, CASE WHEN looped THEN list_min(seen[list_position(seen, cur):]) ELSE cur END AS root_id,
   CAST(CASE WHEN looped THEN -1 ELSE steps END AS INTEGER) AS depth FROM ends""",
     "p2_paths": f"""WITH RECURSIVE {_LINKS}
-SELECT type, node_id, CAST(steps AS INTEGER) AS depth, array_to_string(list_prepend(cur, list_reverse(seen)), ' / ') AS full_path FROM ends WHERE NOT looped""",
+SELECT type, node_id, CAST(CASE WHEN looped THEN -1 ELSE steps END AS INTEGER) AS depth,
+  array_to_string(CASE WHEN looped THEN list_reverse(seen[1:list_position(seen, cur)]) ELSE list_prepend(cur, list_reverse(seen)) END, ' / ') AS full_path FROM ends""",
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}
-SELECT u.type, u.cur AS ancestor_id, u.node_id, CAST(u.steps AS INTEGER) AS distance FROM up u
-JOIN ends e ON e.type = u.type AND e.node_id = u.node_id WHERE NOT e.looped""",
+SELECT type, cur AS ancestor_id, node_id, CAST(steps AS INTEGER) AS distance FROM up WHERE NOT list_contains(seen, cur)""",
     "p3_found": f"WITH {_ORPHANS} SELECT edge_id, side, reason FROM orphans",
     "p3_report": f"WITH {_ORPHANS} SELECT side, run, reason, count(*) AS n_refs FROM orphans GROUP BY ALL",
     "p5_found": """
