@@ -114,13 +114,14 @@ def cross(sizes: list[int], capacity: int, donor: Bins, host: Bins, rng: random.
 def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, generations: int, population: int) -> Bins:
     """The best packing found from the given ones and new random ones."""
     rng = random.Random(seed)
-    everyone = []
-    for bins in start:
-        everyone.append(bins)
+    least = -(-sum(sizes) // capacity)  # as few bins as the sum of sizes allows
+    everyone = [*start]
     while len(everyone) < population:
-        bins, room = [], []
+        if any(len(bins) <= least for bins in everyone):
+            break
         if len(everyone) == len(start):
-            best_fit(sizes, list(range(len(sizes))), bins, room, capacity)
+            bins = []
+            best_fit(sizes, list(range(len(sizes))), bins, [], capacity)
         else:
             bins = tight_fit(sizes, capacity, rng)
         everyone.append(bins)
@@ -129,11 +130,10 @@ def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, genera
         return -len(bins), fitness([capacity - sum(sizes[i] for i in b) for b in bins], capacity)
 
     ranked = sorted(((score(b), n, b) for n, b in enumerate(everyone)), key=lambda x: (x[0], -x[1]), reverse=True)
-    total = sum(sizes)
     n = len(everyone)
     for _ in range(generations):
-        if len(ranked[0][2]) <= -(-total // capacity):
-            break  # as few bins as the sum of sizes allows
+        if len(ranked[0][2]) <= least:
+            break
         one, two = rng.sample(ranked, 2) if len(ranked) > 1 else (ranked[0], ranked[0])
         for donor, host in ((one, two), (two, one)):
             child = cross(sizes, capacity, donor[2], host[2], rng)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,23 @@ def _island(generations: int, population: int):
     """The step of one island: evolve its items from the packings that came to it, if any."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["item_id", "island"], kind="stable")
-        items = rows.drop_duplicates("item_id").reset_index(drop=True)
-        rows["n"] = rows["item_id"].map({k: n for n, k in enumerate(items["item_id"])})
+        # one row per item and packing; items in the order of their ids, packings in that of their islands
+        islands = np.unique(rows["island"].to_numpy())
+        own = rows["island"].to_numpy()
+        order = np.lexsort((rows["item_id"].to_numpy(), own))
+        rows = rows.iloc[order]
+        items = rows.iloc[: len(rows) // len(islands)].reset_index(drop=True)
         sizes, capacity, shard, home = items["tokens"].tolist(), int(items["capacity"].iat[0]), int(items["shard"].iat[0]), int(items["home"].iat[0])
-        settled = rows[rows["bin"] >= 0]
-        start = [[list(b) for b in own.groupby("bin")["n"].agg(list)] for _, own in settled.groupby("island", sort=True)]
+        start = []
+        for bins in np.split(rows["bin"].to_numpy(), len(islands)):
+            if bins[0] >= 0:
+                members = np.argsort(bins, kind="stable")
+                start.append([m.tolist() for m in np.split(members, np.flatnonzero(np.diff(bins[members])) + 1)])
         best = evolve(sizes, capacity, start, shard * 31 + home, generations, max(population, len(start)))
-        where = {i: b for b, members in enumerate(best) for i in members}
-        items["bin"] = [where[n] for n in range(len(items))]
+        where = np.empty(len(items), np.int32)
+        for n, members in enumerate(best):
+            where[members] = n
+        items["bin"] = where
         items["island"] = home
         return items[[c.split()[0] for c in _OUT.split(", ")]]
 
