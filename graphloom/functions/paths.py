@@ -51,10 +51,15 @@ def glob_regex(pattern: str, anchored: bool = True) -> str:
 
 
 def loose_glob(pattern: str) -> str:
-    """The looser form of the affected filter and custom edges: * spans directories, nothing is escaped."""
+    """The looser form of custom edges: * spans directories, nothing is escaped."""
     return "^" + pattern.replace("*", ".*") + "$"
 
 
+def filter_glob(pattern: str) -> str:
+    """The form of the affected filter: * spans directories, all else but ? stands for itself."""
+    return "^" + re.sub(r"([.+^${}()|\[\]\\])", r"\\\1", pattern).replace("*", ".*") + "$"
+
+
 def impact_flags(node_type: Column, name: Column, path: Column) -> dict[str, Column]:
     """The buckets a node of an impact report falls into; it may be several."""
     return {

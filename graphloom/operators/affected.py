@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import file_group, group_ordinal, loose_glob
+from graphloom.functions.paths import file_group, filter_glob, group_ordinal
 from graphloom.operators.traverse import affected_files
 
 
@@ -18,7 +18,7 @@ def report(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int =
     rows = affected_files(nodes, edges, changed, depth).groupBy("file_path").agg(F.collect_set("path").alias("paths"))
     rows = rows.select("file_path", file_group(F.col("file_path")).alias("file_group"), F.array_sort("paths").alias("paths"))
     if pattern:
-        rows = rows.filter(F.col("file_path").rlike(loose_glob(pattern)))
+        rows = rows.filter(F.col("file_path").rlike(filter_glob(pattern)))
     unknown = changed.select(F.col("path").alias("file_path")).distinct().join(nodes.select("file_path"), "file_path", "left_anti")
     echoed = unknown.select("file_path", file_group(F.col("file_path")).alias("file_group"), F.array().cast("array<array<string>>").alias("paths"))
     rows = rows.unionByName(echoed)

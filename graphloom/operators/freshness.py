@@ -28,11 +28,11 @@ def stale_files(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def file_status(stored: DataFrame, current: DataFrame, path: str) -> DataFrame:
-    """One row: path and status current, stale or missing (no stored row)."""
+    """One row: path and status current, stale (changed) or missing (no stored row, gone or unreadable)."""
     one = stored.sparkSession.createDataFrame([(path,)], "path string")
     known = one.join(stored.filter(F.col("path") == path).select("path", F.lit(1).alias("known")), "path", "left")
     stale = stale_files(stored.filter(F.col("path") == path), current.filter(F.col("path") == path))
-    return known.join(stale, "path", "left").select("path", F.when(F.col("known").isNull(), "missing").when(F.col("reason").isNotNull(), "stale").otherwise("current").alias("status"))
+    return known.join(stale, "path", "left").select("path", F.when(F.col("known").isNull() | F.col("reason").isin("deleted", "unknown"), "missing").when(F.col("reason").isNotNull(), "stale").otherwise("current").alias("status"))
 
 
 def freshness(stored: DataFrame, current: DataFrame, meta: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.paths import loose_glob
+from graphloom.workspace import Scratch
 
 #: The suffixes tried for a relative import, in order.
 IMPORT_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -92,7 +93,9 @@ def canonical_order(edges: DataFrame) -> DataFrame:
     number is its place in its partition after all earlier ones.
     """
     keys = ["source", "target", "edge_type", "metadata"]
-    placed = edges.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    scratch = Scratch(edges.sparkSession, "order")
+    # saved, so that both readings below see the same partitions
+    placed = scratch.save(edges.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "placed")
     within = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
@@ -150,7 +153,8 @@ def plan_batches(owned: DataFrame, size: int = 32) -> DataFrame:
     file's number is its place in its block after all earlier ones.
     """
     keys = ["config_dir", "path"]
-    placed = owned.select(*keys).repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    scratch = Scratch(owned.sparkSession, "batches")
+    placed = scratch.save(owned.select(*keys).repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "placed")
     counts = placed.groupBy("config_dir", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("config_dir").orderBy("part")) - F.col("n")).select(F.col("config_dir").alias("cd"), F.col("part").alias("pt"), "before")
     nth = F.row_number().over(Window.partitionBy("config_dir", "part").orderBy("path"))

@@ -86,3 +86,18 @@ def stale_symbols(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     rows = stored.join(found, ["file_path", "type", "b"], "left")
     verdict = F.when(F.col("type").isin("field", "route"), "unaudited").when(F.col("there").isNull(), "stale")
     return rows.select("id", verdict.alias("verdict")).filter("verdict is not null")
+
+
+def declared_parameters(sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The parameters of functions, as their files declare them: id, params array<string>.
+
+    Functions of files without a text have null params; functions that their file does
+    not hold give no row. Destructured parameters count by their names.
+    """
+    facts = extract(sources)
+    flow = facts.filter("rel = 'edge' and type = 'param_flow' and source like 'param:%'").select(F.col("target").alias("id"), "nth", F.element_at(F.split("source", ":"), -1).alias("param"))
+    params = flow.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "param"))), lambda x: x["param"]).alias("found"))
+    held = facts.filter("rel = 'node' and type = 'function'").select("id").distinct().join(params, "id", "left").select("id", F.coalesce("found", F.array().cast("array<string>")).alias("params"))
+    texts = sources.filter("text is not null").select(F.col("path").alias("file_path")).distinct()
+    unread = nodes.filter("type = 'function'").join(texts, "file_path", "left_anti").select("id", F.lit(None).cast("array<string>").alias("params"))
+    return held.unionByName(unread)

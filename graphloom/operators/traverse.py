@@ -174,43 +174,53 @@ def reached(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataFrame:
 
 
 def contained(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
-    """The symbols of a file node by ``contains`` edges; without any, by file path: node, rank."""
-    held = edges.filter((F.col("edge_type") == "contains") & (F.col("source") == root)).select(F.col("target").alias("node")).distinct().withColumn("rank", F.lit(0))
-    path = root.removeprefix("file:")
-    same = nodes.filter((F.col("file_path") == path) & (F.col("id") != root)).select(F.col("id").alias("node"), F.lit(1).alias("rank"))
-    if not root.startswith("file:"):
+    """The symbols of a file node by ``contains`` edges; without any, by its path: node, p1, p2, p3.
+
+    p1, p2, p3 order them: by id, or by type, name and id.
+    """
+    held = edges.filter((F.col("edge_type") == "contains") & (F.col("source") == root)).select(F.col("target").alias("node")).distinct().select("node", F.col("node").alias("p1"), F.lit("").alias("p2"), F.lit("").alias("p3"))
+    own = nodes.filter((F.col("id") == root) & (F.col("type") == "file")).select(F.col("file_path").alias("own_path"))
+    if own.isEmpty():
         return held.limit(0)
-    return same if held.isEmpty() else held
+    if not held.isEmpty():
+        return held
+    same = nodes.filter("type != 'file'").join(F.broadcast(own), F.col("file_path") == F.col("own_path"))
+    return same.select(F.col("id").alias("node"), F.col("type").alias("p1"), F.coalesce("name", F.lit("")).alias("p2"), F.col("id").alias("p3"))
 
 
-def impact_walk(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, edge_type: str | None = None, cap: int = 50) -> DataFrame:
+def impact_walk(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, edge_type: str | None = None, cap: int = 50, from_package: str | None = None, to_package: str | None = None) -> DataFrame:
     """Relationships around a root, nearest first, at most cap in all.
 
     Columns: pos, depth, direction (downstream along an edge, upstream against it),
     edge_id, edge_type, source, target, truncated boolean (the same in every row).
-    Edges of a level are taken by the place of the frontier node, type, source, target
-    and id; each (edge, direction) once; self-loops never. A neighbour is expanded
-    once. The report is a top-k: per level at most cap + 1 rows reach the driver.
+    Only edges with both ends count, and of those the given packages. The walk starts
+    at the root and, for a file, all its symbols. Edges of a level are taken by the
+    place of the frontier node, type, source, target and id; each (edge, direction)
+    once; self-loops never. A neighbour is expanded once. The report is a top-k: per
+    level at most cap + 1 rows reach the driver; the symbols stay distributed.
     """
     spark = nodes.sparkSession
+    scratch = Scratch(spark, "impact")
     kinds = [edge_type] if edge_type else IMPACT_TYPES
-    rows = edges.filter(F.col("edge_type").isin(kinds) & (F.col("source") != F.col("target"))).select("edge_id", "edge_type", "source", "target")
-    frontier = [root, *[r["node"] for r in contained(nodes, edges, root).orderBy("node").limit(cap).collect()]]
-    visited, taken, found, truncated = set(frontier), set(), [], False
+    rows = live_edges(nodes, edges, from_package, to_package).filter(F.col("edge_type").isin(kinds) & (F.col("source") != F.col("target"))).select("edge_id", "edge_type", "source", "target")
+    first = spark.createDataFrame([(root, 0, "", "", "")], "node string, p0 int, p1 string, p2 string, p3 string")
+    symbols = contained(nodes, edges, root).filter(F.col("node") != root).select("node", F.lit(1).alias("p0"), "p1", "p2", "p3")
+    seeds = scratch.save(first.unionByName(symbols), "seeds")
+    frontier, visited, taken, found, truncated = seeds, set(), set(), [], False
+    order = ["p0", "p1", "p2", "p3", "edge_type", "source", "target", "edge_id", "direction"]
     for level in range(1, depth + 1):
-        if not frontier or truncated:
+        if frontier is None or truncated:
             break
-        at = F.broadcast(spark.createDataFrame(list(enumerate(frontier)), "place int, node string"))
-        along = rows.join(at, F.col("source") == F.col("node")).select("place", "edge_id", "edge_type", "source", "target", F.lit("downstream").alias("direction"))
-        against = rows.join(at, F.col("target") == F.col("node")).select("place", "edge_id", "edge_type", "source", "target", F.lit("upstream").alias("direction"))
+        along = rows.join(frontier, F.col("source") == F.col("node")).withColumn("direction", F.lit("downstream"))
+        against = rows.join(frontier, F.col("target") == F.col("node")).withColumn("direction", F.lit("upstream"))
         fresh = along.unionByName(against)
         if taken:
             known = F.broadcast(spark.createDataFrame(sorted(taken), "edge_id long, direction string"))
             fresh = fresh.join(known, ["edge_id", "direction"], "left_anti")
-        best = fresh.groupBy("edge_id", "direction", "edge_type", "source", "target").agg(F.min("place").alias("place"))
-        order = ["place", "edge_type", "source", "target", "edge_id", "direction"]
+        place = F.struct(*order[:4])
+        best = fresh.groupBy("edge_id", "direction", "edge_type", "source", "target").agg(F.min(place).alias("p")).select("*", "p.*")
         candidates = best.orderBy(*order).limit(cap - len(found) + 1).collect()
-        grown = []
+        grown: list[str] = []
         for r in candidates:
             if len(found) >= cap:
                 truncated = True
@@ -221,7 +231,9 @@ def impact_walk(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, e
             if other not in visited:
                 visited.add(other)
                 grown.append(other)
-        frontier = grown
+        known_seeds = {r["node"] for r in seeds.filter(F.col("node").isin(grown)).select("node").collect()} if grown and level < depth else set()
+        grown = [n for n in grown if n not in known_seeds]
+        frontier = F.broadcast(spark.createDataFrame([(n, i, "", "", "") for i, n in enumerate(grown)], first.schema)) if grown else None
     out = [(*f, truncated) for f in found]
     return spark.createDataFrame(out, "pos int, depth int, direction string, edge_id long, edge_type string, source string, target string, truncated boolean")
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import file_group, group_ordinal, impact_flags
-from graphloom.operators import audit, freshness, ingest, legacy, resolve, scan, search, stats, traverse, update
+from graphloom.functions.paths import file_group, group_ordinal
+from graphloom.operators import audit, freshness, impact, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans.star import STAR_SQL, star_edges, star_nodes
 from graphloom.sources.graph_store import graph_store
@@ -176,23 +176,24 @@ def affected_tests(spark, d):
 
 
 def impact_walk(spark, d):
-    return traverse.impact_walk(_nodes(spark, d), _edges(spark, d), TYPE, depth=3)
+    return traverse.impact_walk(_nodes(spark, d), _store(spark, d).edges, TYPE, depth=3)
+
+
+def impact_level(spark, d):
+    return traverse.impact_walk(_nodes(spark, d), _store(spark, d).edges, TYPE, depth=1)
 
 
 def impact_buckets(spark, d):
-    n = _nodes(spark, d)
-    flags = impact_flags(F.col("type"), F.col("name"), F.col("file_path"))
-    return n.agg(*[F.count_if(F.coalesce(f, F.lit(False))).alias(k) for k, f in flags.items()])
+    nodes = _nodes(spark, d)
+    return impact.bucket_counts(impact.met_nodes(traverse.impact_walk(nodes, _store(spark, d).edges, HOT, depth=1), nodes))
 
 
 def impact_tests(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
-    root = nodes.filter(F.col("id") == INDEX).select(F.col("id").alias("node"))
-    near = traverse.reached(edges, root.unionByName(traverse.contained(nodes, edges, INDEX).select("node")))
-    from graphloom.functions.paths import IMPACT_TEST
+    return impact.impact_tests(_nodes(spark, d), _edges(spark, d), INDEX)
+
 
-    tests = nodes.filter(F.col("type") == "file").filter(F.col("file_path").rlike(IMPACT_TEST))
-    return tests.join(near, F.col("id") == F.col("node"), "left_semi").select("file_path").distinct()
+def impact_report(spark, d):
+    return impact.impact_report(_nodes(spark, d), _store(spark, d).edges, HOT)
 
 
 def orphan_edges(spark, d):
@@ -211,6 +212,16 @@ def documentation_audit(spark, d):
     return audit.documentation_issues(_nodes(spark, d))
 
 
+def documentation_params(spark, d):
+    nodes, texts = _nodes(spark, d), table(spark, d, "sources", "path", "text")
+    return audit.documentation_issues(nodes, scan.declared_parameters(texts, nodes))
+
+
+def audit_all(spark, d):
+    nodes, texts = _nodes(spark, d), table(spark, d, "sources", "path", "text")
+    return audit.audit_report(nodes, _edges(spark, d), texts, scan.stale_symbols(nodes, texts), audit.documentation_issues(nodes))
+
+
 def _stored(spark, d):
     return freshness.newest(table(spark, d, "files"), "indexed_at")
 
@@ -362,7 +373,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         graph_stored, path_shortest, path_labels, inspect, resolve_exact, resolve_partial, resolve_type_name, stats_totals, stats_nodes_by_type, stats_edges_by_type, stats_bars, stats_top_imported, stats_largest_files, stats_packages, tag_distribution, files_counts, files_pattern,
-        search_like, search_fts, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_buckets, impact_tests, orphan_edges, duplicate_nodes, missing_files, documentation_audit, stale_files, freshness_block, update_counters,
+        search_like, search_fts, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_level, impact_buckets, impact_tests, impact_report, orphan_edges, duplicate_nodes, missing_files, documentation_audit, documentation_params, audit_all, stale_files, freshness_block, update_counters,
         delete_files, node_counts_per_file, placeholders, dedup_edges, canonical_edges, call_resolution, custom_edges_same_file, custom_edges_imported, custom_edges_all, package_owner, batch_plan, import_resolution, ingest_nodes, ingest_edges, stale_symbols, legacy_ids, legacy_fix_counts, legacy_edge_dedup, legacy_complexity, legacy_tested_by, legacy_import_recovery,
     )
 }

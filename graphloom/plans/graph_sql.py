@@ -143,7 +143,39 @@ def _named(text: str) -> str:
     return f"WITH RECURSIVE {_GRAPH}, {text}"
 
 
+def _level(root: str) -> str:
+    """The first level of an impact walk from a node that is no file, cut at 50."""
+    return f"""around AS (SELECT e.* FROM ge e JOIN gn a ON a.id = e.source JOIN gn b ON b.id = e.target
+  WHERE e.edge_type IN {_TRAVERSED.replace("'tested_by'", "'tested_by','has_field','contains'")} AND e.source <> e.target AND (e.source = '{root}' OR e.target = '{root}')),
+level AS (SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS pos, 1 AS depth, CASE WHEN source = '{root}' THEN 'downstream' ELSE 'upstream' END AS direction, edge_id, edge_type, source, target,
+  (SELECT count(*) FROM around) > 50 AS truncated FROM around WINDOW w AS (ORDER BY edge_type, source, target, edge_id) QUALIFY row_number() OVER w <= 50)"""
+
+
+_PREFIXES = "('file','func','function','class','module','concept','config','document','service','table','endpoint','pipeline','schema','resource','domain','flow','step','article','entity','topic','claim','source')"
+_ALTERNATIVES = _PREFIXES[2:-2].replace("','", "|")
+_LEGACY_IDS = f"""
+raw AS (SELECT DISTINCT type, name, file_path, CASE type WHEN 'function' THEN regexp_replace(id, '^function:', 'func:') WHEN 'file' THEN 'file:' || id WHEN 'field' THEN name ELSE id END AS old_id FROM (SELECT DISTINCT id, type, name, file_path FROM nodes) n),
+single AS (SELECT *, coalesce(split_part(old_id, ':', 1) IN {_PREFIXES} AND starts_with(old_id, split_part(old_id, ':', 1) || ':' || split_part(old_id, ':', 1) || ':'), false) AS doubled FROM raw),
+cut AS (SELECT *, CASE WHEN doubled THEN substring(old_id, length(split_part(old_id, ':', 1)) + 2) ELSE old_id END AS o FROM single),
+own AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(o, '^[^:]+:(?:{_ALTERNATIVES}):.') AND NOT regexp_matches(o, '^(?:{_ALTERNATIVES}):') THEN regexp_replace(o, '^[^:]+:', '') ELSE o END, '^func:', 'function:') AS p FROM cut),
+named AS (SELECT *, CASE WHEN type = 'func' THEN 'function' WHEN type IN {_PREFIXES} THEN type ELSE 'file' END AS kind FROM own),
+fixed AS (SELECT old_id, doubled, CASE WHEN regexp_matches(p, '^(?:{_ALTERNATIVES}):') THEN p WHEN type IN ('function', 'class') THEN concat_ws(':', kind, CASE WHEN coalesce(file_path, '') <> '' THEN file_path ELSE '__nofilepath__' END, coalesce(name, p)) ELSE concat_ws(':', kind, p) END AS new_id FROM named),
+judged AS (SELECT old_id, new_id, CASE WHEN old_id = new_id THEN 'unchanged' WHEN doubled THEN 'double_prefix' WHEN starts_with(old_id, 'func:') THEN 'renamed_prefix' ELSE 'added_prefix' END AS fix FROM fixed)
+"""
+
 ORACLES = {
+    "legacy_ids": f"WITH {_LEGACY_IDS} SELECT old_id, new_id, fix FROM judged",
+    "legacy_fix_counts": f"WITH {_LEGACY_IDS} SELECT fix, count(*) AS n FROM judged GROUP BY fix",
+    "documentation_audit": f"""WITH {_GRAPH},
+own AS (SELECT id, CASE WHEN json_valid(documentation) THEN CAST(documentation AS JSON) END AS doc FROM gn WHERE type IN ('function', 'class', 'interface', 'type_alias') AND file_path <> ''
+  AND json_valid(tags) AND json_type(CAST(tags AS JSON)) = 'ARRAY' AND (json_contains(tags, '"exported"') OR json_contains(tags, '"public"'))),
+told AS (SELECT *, coalesce(json_extract_string(doc, '$.version') = '1' AND json_extract_string(doc, '$.hasJsDoc') = 'true', false) AS ok FROM own),
+tags AS (SELECT id, unnest(from_json(json_extract(doc, '$.tags'), '["JSON"]')) AS tag, generate_subscripts(from_json(json_extract(doc, '$.tags'), '["JSON"]'), 1) AS nth FROM told WHERE ok),
+each AS (SELECT id, nth, json_extract_string(tag, '$.name') AS name, concat_ws(':', json_extract_string(tag, '$.name'), coalesce(json_extract_string(tag, '$.subject'), json_extract_string(tag, '$.text'), '')) AS ident FROM tags)
+SELECT id, 'missing_jsdoc' AS issue, CAST(NULL AS VARCHAR) AS subject FROM told WHERE NOT ok
+UNION ALL SELECT id, 'missing_description', NULL FROM told WHERE ok AND coalesce(json_extract_string(doc, '$.description'), '') = ''
+UNION ALL SELECT id, 'duplicate_tag', name FROM (SELECT *, row_number() OVER (PARTITION BY id, ident ORDER BY nth) AS again FROM each) r WHERE again > 1
+UNION ALL SELECT id, 'extra_tag', name FROM each WHERE name NOT IN ('param', 'arg', 'argument', 'returns', 'return', 'deprecated', 'throws', 'example', 'see', 'remarks', 'since', 'template', 'typeParam', 'public', 'private', 'protected')""",
     "graph_stored": " UNION ALL ".join(
         f"SELECT * FROM (WITH {g} SELECT '{name}' AS graph, (SELECT count(*) FROM gn) AS n_nodes, count(*) AS n_edges, count(*) FILTER (WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)) AS n_live FROM ge) t"
         for name, g in (("graph", _GRAPH), ("star", STAR_SQL))
@@ -186,8 +218,12 @@ SELECT * FROM (SELECT m.id, m.way, CAST(row_number() OVER (PARTITION BY m.id, m.
     "affected_groups": f"""{_named(_AFFECTED)}, g AS (SELECT file_path, count(DISTINCT path) AS n_paths, {_GROUP.format('file_path')} AS file_group FROM affected GROUP BY file_path)
 SELECT file_path, file_group, CAST(list_position(['tests', 'routes', 'components', 'dataAccess', 'other'], file_group) - 1 AS INTEGER) AS ordinal, n_paths FROM g""",
     "affected_tests": f"{_named(_AFFECTED)}, g AS (SELECT file_path, count(DISTINCT path) AS n_paths, {_GROUP.format('file_path')} AS file_group FROM affected GROUP BY file_path) SELECT file_path, n_paths FROM g WHERE file_group = 'tests'",
-    "impact_buckets": rf"""WITH {_GRAPH} SELECT count(*) FILTER (WHERE type = 'field') AS fields, count(*) FILTER (WHERE type = 'schema') AS schemas, count(*) FILTER (WHERE type = 'function' AND regexp_matches(name, 'use[A-Z]')) AS hooks,
-  count(*) FILTER (WHERE regexp_matches(file_path, '/app/.*/(?:page|layout|route)\.[jt]sx?$|/pages/.*\.[jt]sx?$|/api/.*\.(?:ts|tsx|js|jsx)$')) AS routes, count(*) FILTER (WHERE regexp_matches(file_path, '/components?/.*\.[jt]sx?$')) AS components FROM gn""",
+    "impact_level": f"WITH {_GRAPH}, {_level(_TYPE)} SELECT * FROM level",
+    "impact_buckets": rf"""WITH {_GRAPH}, {_level(_HOT)},
+met AS (SELECT * FROM gn WHERE id IN (SELECT CASE direction WHEN 'downstream' THEN target ELSE source END FROM level))
+SELECT count(*) FILTER (WHERE type = 'field') AS fields, count(*) FILTER (WHERE type = 'schema') AS schemas, count(*) FILTER (WHERE type = 'function' AND regexp_matches(name, 'use[A-Z]')) AS hooks,
+  count(*) FILTER (WHERE regexp_matches(file_path, '/app/.*/(?:page|layout|route)\.[jt]sx?$|/pages/.*\.[jt]sx?$|/api/.*\.(?:ts|tsx|js|jsx)$')) AS routes,
+  count(*) FILTER (WHERE regexp_matches(file_path, '/components?/.*\.[jt]sx?$')) AS components FROM met""",
     "impact_tests": rf"""WITH RECURSIVE {_GRAPH}, step AS (SELECT source, target FROM ge WHERE edge_type IN {_TRAVERSED} UNION SELECT target, source FROM ge WHERE edge_type IN {_TRAVERSED}),
 held AS (SELECT target AS node FROM ge WHERE edge_type = 'contains' AND source = '{_INDEX}'),
 reach AS (SELECT node, 0 AS hops FROM (SELECT '{_INDEX}' AS node UNION SELECT node FROM held UNION SELECT id FROM gn WHERE 'file:' || file_path = '{_INDEX}' AND id <> '{_INDEX}' AND NOT EXISTS (SELECT 1 FROM held)) s

@@ -1,9 +1,12 @@
 import datetime
+import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import file_group, glob_regex, relative_path
+from graphloom.functions.paths import file_group, filter_glob, glob_regex, relative_path
 from graphloom.operators import affected, audit, freshness, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans import shell
@@ -94,7 +97,7 @@ def test_statistics_and_audits(spark):
     assert stats.top_imported(n, e).first()["n"] == 2
     assert {(r["edge_id"], r["missing"]) for r in audit.orphan_edges(n, e).collect()} == {(2, "target"), (4, "both")}
     assert ingest.placeholders(n, e).collect()[0][:3] == ("class:*:X", "class", "X")
-    assert audit.documentation_issues(n, True).groupBy("issue").count().collect()[0][:] == ("missing", 3)
+    assert audit.documentation_issues(n, include_internal=True).groupBy("issue").count().collect()[0][:] == ("missing_jsdoc", 3)
     assert update.update_counters(n, e, spark.createDataFrame([("/p/a.ts",), ("/p/b.ts",)], "path string")).first()[:] == (2, 5)
     assert stats.packages(n).first()[:] == ("pk", 3)
 
@@ -105,6 +108,58 @@ def test_freshness(spark):
     now = spark.createDataFrame([("a", "1", 1, 1), ("b", "2", 1, 1), ("d", None, 1, 1)], cols)
     assert {tuple(r) for r in freshness.stale_files(old, now).collect()} == {("b", "modified"), ("c", "deleted"), ("d", "unknown")}
     assert freshness.file_status(old, now, "zz").first()["status"] == "missing" and freshness.file_status(old, now, "a").first()["status"] == "current"
+    assert {p: freshness.file_status(old, now, p).first()["status"] for p in "bcd"} == {"b": "stale", "c": "missing", "d": "missing"}
+
+
+def test_documentation_issues_against_declared_parameters(spark):
+    doc = {"version": 1, "hasJsDoc": True, "description": "", "params": [{"name": "a", "description": ""}, {"name": "x", "description": "y"}], "tags": [{"name": "see", "text": "b"}, {"name": "see", "text": "b"}, {"name": "odd", "text": "b"}]}
+    rows = [("f", "function", "f", "/p.ts", 1, 1, None, json.dumps(doc), '["exported"]', None, None), ("g", "function", "g", "/q.ts", 1, 1, None, json.dumps(doc | {"hasJsDoc": False}), '["public"]', None, None), ("h", "function", "h", "/gone.ts", 1, 1, None, json.dumps(doc | {"description": "d", "tags": []}), '["public"]', None, None), ("i", "function", "i", "/p.ts", 1, 1, None, None, "[]", None, None), ("j", "function", "j", "", 1, 1, None, None, '["public"]', None, None)]
+    n = clean_nodes(spark.createDataFrame(rows, NODES))
+    declared = spark.createDataFrame([("f", ["a", "b"]), ("g", []), ("h", None)], "id string, params array<string>")
+    found = lambda *x: sorted((r["id"], r["issue"], r["subject"]) for r in audit.documentation_issues(n, *x).collect())
+    plain = [("f", "duplicate_tag", "see"), ("f", "extra_tag", "odd"), ("f", "missing_description", None), ("g", "missing_jsdoc", None)]
+    assert found() == plain
+    more = [("f", "extra_tag", "x"), ("f", "mismatched_param", "a"), ("f", "missing_param", "b"), ("h", "unsupported_form", None)]
+    assert found(declared) == sorted(plain + more, key=lambda r: (r[0], r[1], r[2] or ""))
+
+
+def test_impact_walk_equals_a_walk_by_hand(spark):
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(14)]
+    for root in ("n00", "file:/p/a.ts"):
+        pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(30)}) + [("file:/p/a.ts", n) for n in names[:3]]
+        links = [(a, b, "contains" if a.startswith("file:") else rng.choice(["calls", "imports"])) for a, b in pairs]
+        n, e = graph(spark, links, {"file:/p/a.ts": "file"})
+        stored = [tuple(r) for r in e.select("edge_id", "edge_type", "source", "target").collect()]
+        for cap in (4, 50):
+            front, seen, taken, out, cut = [root] + (names[:3] if root.startswith("file:") else []), set(), set(), [], False
+            seen.update(front)
+            for level in (1, 2, 3):
+                grown = []
+                for node in front:
+                    for i, kind, a, b in sorted((r for r in stored if node in r[2:] and r[2] != r[3]), key=lambda r: (r[1], r[2], r[3], r[0])):
+                        way = "downstream" if a == node else "upstream"
+                        if (i, way) in taken:
+                            continue
+                        if len(out) >= cap:
+                            cut = True
+                            break
+                        taken.add((i, way))
+                        out.append((level, way, i))
+                        other = b if a == node else a
+                        if other not in seen:
+                            seen.add(other)
+                            grown.append(other)
+                    if cut:
+                        break
+                front = [] if cut else grown
+            got = traverse.impact_walk(n, e, root, 3, cap=cap).collect()
+            assert [(r["depth"], r["direction"], r["edge_id"]) for r in got] == out and all(r["truncated"] == cut for r in got)
+
+
+def test_the_affected_filter_escapes_all_but_stars():
+    assert re.search(filter_glob("src/(group)/a.ts"), "src/(group)/a.ts") and not re.search(filter_glob("*/a.ts"), "src/axts")
+    assert re.search(filter_glob("*.ts"), "src/x/a.ts") and not re.search(filter_glob("a.ts"), "b/a.ts")
 
 
 def test_call_resolution_order(spark):
