@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.authorship import signs, token_hashes, tokens
 from graphloom.llm.batches import slices
 from graphloom.llm.rolling import gram_hashes, winnow
-from graphloom.llm.syntax import extension, first_error, repository, syntax_errors
+from graphloom.llm.syntax import CHECKOUTS, extension, first_error, repository, syntax_errors
 from graphloom.workspace import Scratch
 
 CODE = ("ts", "tsx", "js", "mjs", "py")
@@ -59,14 +59,14 @@ def fingerprints(sources: DataFrame, k: int = 16, window: int = 24) -> DataFrame
     return rows.mapInArrow(run, "path string, own string, hint boolean, marks array<bigint>")
 
 
-def not_handwritten(sources: DataFrame, share: float = 0.6, repositories: int = 3) -> DataFrame:
+def not_handwritten(sources: DataFrame, share: float = 0.6, repositories: int = 3, layout: str = CHECKOUTS) -> DataFrame:
     """Code files not written by hand in their project: path, reason.
 
     reason is ``vendored``, ``generated``, ``minified`` or ``data``. A file is
     vendored if the given share of its fingerprints recurs in at least so many
-    repositories (in two, if its path or head hints at a third party), if it lies in
-    a package manager's folder, or carries a licence banner with a version; it is
-    generated, minified or data by its head, layout and tokens. Files that do not
+    repositories (in two, if its path, or a licence banner with a version, hints at a
+    third party), or if a package manager's folder holds it; it is generated, minified or data by its head,
+    layout and tokens. The repository is what ``layout`` captures of a path. Files that do not
     parse, have no text or another extension are no cases; copies within one
     repository recur nowhere else; repeated rows give one row; empty and tiny files
     have no fingerprints; an empty table gives an empty result; further columns are
@@ -78,7 +78,7 @@ def not_handwritten(sources: DataFrame, share: float = 0.6, repositories: int =
     """
     scratch = Scratch(sources.sparkSession, "handwritten")
     files = scratch.save(fingerprints(sources).dropDuplicates(["path"]), "marks")
-    rows = files.select(F.xxhash64("path").alias("file"), F.xxhash64(repository(F.col("path"))).alias("repo"), F.explode("marks").alias("mark"))
+    rows = files.select(F.xxhash64("path").alias("file"), F.xxhash64(repository(F.col("path"), layout)).alias("repo"), F.explode("marks").alias("mark"))
     spread = rows.select("mark", "repo").distinct().groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
     common = rows.select("file", "mark").join(spread, "mark").groupBy("file").agg(F.count("*").alias("two"), F.count_if(F.col("n") >= repositories).alias("many"))
     scored = files.select("path", "own", "hint", F.size("marks").alias("size"), F.xxhash64("path").alias("f")).join(common, F.col("f") == F.col("file"), "left")

@@ -28,9 +28,13 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def repository(path: Column) -> Column:
-    """The repository segment of a path; empty if it has none."""
-    return F.regexp_extract(path, r"^/srv/checkouts/([^/]+)/", 1)
+#: Where the repository stands in a path; a parameter of all that count by repository.
+CHECKOUTS = r"^/srv/checkouts/([^/]+)/"
+
+
+def repository(path: Column, layout: str = CHECKOUTS) -> Column:
+    """The repository segment of a path, the first group of layout; empty if it has none."""
+    return F.regexp_extract(path, layout, 1)
 
 
 def first_error(path: str, text: str) -> tuple[int, str] | None:
@@ -43,7 +47,7 @@ def first_error(path: str, text: str) -> tuple[int, str] | None:
     return (text.count("\n", 0, fault.offset) + 1, fault.what) if fault else None
 
 
-def syntax_errors(sources: DataFrame) -> DataFrame:
+def syntax_errors(sources: DataFrame, layout: str = CHECKOUTS) -> DataFrame:
     """Every source text of a known extension with its first error, if any.
 
     Columns: path, extension, repository, valid boolean, line int and error string
@@ -72,7 +76,7 @@ def syntax_errors(sources: DataFrame) -> DataFrame:
             )
 
     judged = rows.mapInArrow(run, "path string, valid boolean, line int, error string")
-    return judged.select("path", extension(F.col("path")).alias("extension"), repository(F.col("path")).alias("repository"), "valid", "line", "error")
+    return judged.select("path", extension(F.col("path")).alias("extension"), repository(F.col("path"), layout).alias("repository"), "valid", "line", "error")
 
 
 def error_rates(judged: DataFrame) -> DataFrame:

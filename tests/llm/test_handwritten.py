@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from graphloom.llm.authorship import signs, tokens
 from graphloom.llm.handwritten import not_handwritten
 
 
@@ -50,3 +51,40 @@ def test_reasons(spark):
 def test_empty(spark):
     assert not_handwritten(spark.createDataFrame([], "path string, text string")).count() == 0
     assert pytest is not None
+
+
+HAND = "import { a } from './b';\n\nexport function loadThing(name: string) {\n  const found = a(name);\n  if (!found) {\n    throw new Error(`no ${name}`);\n  }\n  return found.map((x) => x + 1);\n}\n" * 3
+
+
+def judged(text, path="/srv/checkouts/r/a.ts"):
+    code, head = tokens(text)
+    return signs(path, text, code, head)
+
+
+def test_heads_of_tools_and_what_only_sounds_like_them():
+    for head in ("// 本文件由工具自动生成，请勿修改", "// 自動生成されたファイルです。編集しないでください", "// Produced with protoc-gen-ts", "// Code generated by mockery v2. DO NOT EDIT.", "/* @generated */", "// Этот файл сгенерирован, не редактируйте"):
+        assert judged(head + "\n" + HAND)[0] == "generated", head
+    for head in ("// Code generated by templates is checked in CI", "/* Handles machine-generated keys of users. */", "// Sends mail to the @generated list"):
+        assert judged(head + "\n" + HAND) == (None, False), head
+    assert judged("/*! Our graphs v1.2.3, licensed under MIT */\n" + HAND) == (None, True)
+
+
+def test_minified_code_with_and_without_line_breaks():
+    rng = random.Random(1)
+    one = "".join(f"function {rng.choice('abcdefgh')}{rng.choice('xyz')}({rng.choice('tnre')},{rng.choice('ijk')}){{var o={rng.choice('tnre')}.{rng.choice(['length', 'map', 'x'])};return o?{rng.choice('tnre')}+{i}:void 0}}" for i in range(40))
+    assert judged(one)[0] == judged("\n".join(one[i : i + 180] for i in range(0, len(one), 180)))[0] == judged(one[:400])[0] == "minified"
+    assert judged(HAND)[0] is None
+
+
+def test_tables_with_an_accessor_are_data():
+    table = "export const TABLE = [\n" + "".join(f"  [{i}, {i * 7 % 13}, 'k{i}'],\n" for i in range(200)) + "];\n"
+    assert judged(table)[0] == judged(table + "export function at(i) { return TABLE[i]; }\n")[0] == "data"
+    assert judged("export const SIZES = [1, 2, 3, 5, 8];\n")[0] is None
+
+
+def test_the_layout_of_repositories_is_a_parameter(spark):
+    text = "".join(f"export function helper{i}(value) {{ return value.part{i}.map((x) => x * {i} + shift{i}); }}\n" for i in range(40))
+    rows = [(f"/work/{r}/lib/util.js", text) for r in ("a", "b", "c", "d")] + [("/work/a/own.ts", HAND)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    assert {r["path"] for r in not_handwritten(df, layout=r"^/work/([^/]+)/").collect()} == {p for p, _ in rows[:4]}
+    assert not_handwritten(df).count() == 0
