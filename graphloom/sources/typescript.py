@@ -176,10 +176,23 @@ class FileReader:
             n += 1
         return t[body].mate + 1
 
+    def _parents(self, at: int, last: int, own: str) -> None:
+        """An extends edge to each parent of an interface."""
+        t, depth, listed = self.t, 0, False
+        for n in range(at, last):
+            x = t[n]
+            if x.text == "{" and depth == 0:
+                return
+            depth += (x.text == "<") - (x.text == ">")
+            if depth == 0 and x.text == "extends":
+                listed = True
+            elif listed and depth == 0 and x.kind == "word" and t[n - 1].text in ("extends", ","):
+                self.edge("extends", own, f"interface:*:{x.text}")
+
     def _import(self, at: int, declaration: int) -> int:
         t = self.t
         end = at + 1
-        while end < len(t) and t[end].kind != "str" and t[end].text != ";" and end - at < 4000:
+        while end < len(t) and t[end].kind != "str" and t[end].text not in (";", "import"):
             end += 1
         if end >= len(t) or t[end].kind != "str":
             return at + 1
@@ -191,7 +204,9 @@ class FileReader:
         if t[n].kind == "word" and t[n].text != "from" and t[n + 1].text in ("from", ","):
             self.rows.append({"rel": "binding", "specifier": specifier, "declaration": declaration, "binding": 0, "kind": "default", "local": t[n].text, "imported": "default"})
         for m in range(n, end):
-            if t[m].text == "{" and t[m].mate > 0:
+            if t[m].text == "*" and t[m + 1].text == "as" and t[m + 2].kind == "word":
+                self.rows.append({"rel": "binding", "specifier": specifier, "declaration": declaration, "binding": 0, "kind": "namespace", "local": t[m + 2].text, "imported": "*"})
+            elif t[m].text == "{" and t[m].mate > 0:
                 names = [x.text for x in t[m + 1 : t[m].mate] if x.text != "type"]
                 for group in " ".join(names).split(","):
                     words = group.split()
@@ -233,8 +248,8 @@ class FileReader:
             elif x.text in ("interface", "type") and nxt is not None and nxt.kind == "word" and (x.text == "interface" or t[min(n + 2, len(t) - 1)].text in ("=", "<")):
                 last = self._end(n)
                 own = self.node("interface" if x.text == "interface" else "type_alias", nxt.text, n, last, shown, doc, x.text)
-                if x.text == "interface" and t[min(n + 2, len(t) - 1)].text == "extends":
-                    self.edge("extends", own, f"interface:*:{t[n + 3].text}")
+                if x.text == "interface":
+                    self._parents(n + 2, last, own)
                 n = last + 1
             elif x.text in ("const", "let", "var") and nxt is not None:
                 last = self._end(n)
@@ -249,6 +264,17 @@ class FileReader:
             row["path"] = self.path
         return self.rows
 
+    def _arrow_after(self, n: int, last: int) -> bool:
+        """Whether an arrow follows a parameter list, behind a return type of any length."""
+        t = self.t
+        if n > last or t[n].text != ":":
+            return n <= last and t[n].text == "=>"
+        while n <= last and t[n].text != ";":
+            if t[n].text == "=>":
+                return True
+            n = t[n].mate + 1 if t[n].mate > n else n + 1
+        return False
+
     def _variable(self, first: int, last: int, tags: list[str], doc: str | None) -> None:
         t = self.t
         if t[first + 1].kind != "word":
@@ -258,7 +284,7 @@ class FileReader:
         if eq < 0:
             return
         at = eq + 2 if t[eq + 1].text == "async" and eq + 2 <= last else eq + 1
-        arrow = t[at].text == "(" and t[at].mate > 0 and any(t[m].text == "=>" for m in range(t[at].mate, min(t[at].mate + 40, last + 1)))
+        arrow = t[at].text == "(" and t[at].mate > 0 and self._arrow_after(t[at].mate + 1, last)
         if arrow or t[at].text == "function" or t[at].kind == "word" and t[min(at + 1, last)].text == "=>":
             own = self.node("function", name, first, last, tags, doc, "arrow" if t[at].text != "function" else "function-expression")
             if arrow:
@@ -288,28 +314,50 @@ class FileReader:
                     n = t[n].mate + 1 if t[n].mate > n and t[n].text != "(" else n + 1
             n += 1
 
-    def _owner(self, n: int) -> tuple[str, str] | None:
-        inside = [o for o in self.owners if o[0] <= n <= o[1]]
-        return min(inside, key=lambda o: o[1] - o[0])[2:] if inside else None
+    def _owned(self) -> list[tuple[str, str] | None]:
+        """The innermost function around each token, by one sweep over sorted intervals."""
+        out: list[tuple[str, str] | None] = [None] * len(self.t)
+        waiting = sorted(self.owners, key=lambda o: (-o[0], o[1]))
+        stack: list[tuple[int, int, str, str]] = []
+        for n in range(len(self.t)):
+            while waiting and waiting[-1][0] <= n:
+                stack.append(waiting.pop())
+            while stack and stack[-1][1] < n:
+                stack.pop()
+            out[n] = stack[-1][2:] if stack else None
+        return out
+
+    def _arguments(self, at: int) -> list[list[str]]:
+        """The tokens of each argument of a call whose bracket opens at at."""
+        t, out, n = self.t, [[]], at + 1
+        while n < t[at].mate:
+            if t[n].text == ",":
+                out.append([])
+                n += 1
+                continue
+            stop = t[n].mate if t[n].mate > n else n
+            out[-1] += [x.text for x in t[n : stop + 1]]
+            n = stop + 1
+        return out
 
     def _uses(self) -> None:
         """Calls, hooks, queries, rendered components and literals inside functions."""
         t = self.t
-        heads = {o[0] for o in self.owners}
+        heads, owner = {o[0] for o in self.owners}, self._owned()
         for n in range(1, len(t)):
             x = t[n]
             if x.text == "<" and n + 1 < len(t) and t[n + 1].kind == "word" and t[n + 1].text[:1].isupper() and (t[n - 1].text in ("(", "return", ">", "}", "=>", "?", ":", "&&", "||", "{", "[", ",") or t[n - 1].kind == "word" and t[n - 1].line < x.line):
-                own = self._owner(n)
+                own = owner[n]
                 if own:
                     self.edge("renders", own[0], f"function:*:{t[n + 1].text}")
                 continue
             if x.text != "(" or t[n - 1].kind != "word" or t[n - 1].text in _NOT_CALLED:
-                if x.kind == "tpl" and t[n - 1].text == "sql" and self._owner(n):
-                    self.edge("calls", self._owner(n)[0], "function:*:sql", query_template=x.text[1:-1])
+                if x.kind == "tpl" and t[n - 1].text == "sql" and owner[n]:
+                    self.edge("calls", owner[n][0], "function:*:sql", query_template=x.text[1:-1])
                 continue
             if n >= 2 and t[n - 2].text in ("function", "new") or x.mate > 0 and x.mate + 1 < len(t) and t[x.mate + 1].text == "{" and not (n >= 2 and t[n - 2].text == "."):
                 continue
-            own = self._owner(n)
+            own = owner[n]
             if not own or n - 1 in heads:
                 continue
             parts, m = [t[n - 1].text], n - 2
@@ -317,9 +365,8 @@ class FileReader:
                 parts.insert(0, t[m - 1].text)
                 m -= 2
             called = parts[-1]
-            chain = [y.text for y in t[n + 1 : min(n + 12, x.mate if x.mate > 0 else n + 1)]]
             if called in ("useQuery", "useSuspenseQuery", "useMutation") and len(parts) == 1:
-                names = [w for w in re.split(r"\.", "".join(chain).split(",")[0].split(")")[0]) if w][1:]
+                names = [w for w in "".join(self._arguments(n)[0]).split("(")[0].split(".") if w][1:]
                 if names:
                     self.edge("mutates" if called == "useMutation" else "queries", own[0], f"function:*:{'.'.join(names)}")
                     continue
@@ -330,10 +377,11 @@ class FileReader:
             if (called == "fetch" and len(parts) == 1 or parts[-2:] == ["router", "push"]) and first.kind == "str":
                 self.edge("calls", own[0], f"function:*:{'.'.join(parts)}", string_literal=first.text[1:-1])
                 continue
-            if called == "eq" and len(chain) >= 3 and "," in chain:
-                cut = chain.index(",")
-                self.edge("calls", own[0], "function:*:eq", column_ref="".join(chain[:cut]), value_ref="".join(chain[cut + 1 :]))
-                continue
+            if called == "eq":
+                sides = self._arguments(n)
+                if len(sides) > 1 and sides[0] and sides[1]:
+                    self.edge("calls", own[0], "function:*:eq", column_ref="".join(sides[0]), value_ref="".join(sides[1]))
+                    continue
             self.rows.append({"rel": "call", "owner": own[0], "owner_name": own[1], "expression": ".".join(parts), "call_start": t[m + 1].pos, "line_start": x.line})
 
     def _routes(self) -> None:
