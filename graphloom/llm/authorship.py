@@ -30,6 +30,8 @@ _MADE = re.compile(
 )
 #: What compilers and bundlers leave in their output.
 _RUNTIME = re.compile(r"Object\.defineProperty\(exports,\s*[\"']__esModule[\"'][\s\S]*\bthis\s*&&\s*this\.__\w+|\b__webpack_require__\b|\b_interopRequire(?:Default|Wildcard)\b|^//[#@]\s*sourceMappingURL=", re.MULTILINE)
+#: One of these stands in every text that _RUNTIME finds something in.
+_TRACES = ("__esModule", "__webpack_require__", "_interopRequire", "sourceMappingURL=")
 _LICENCE = re.compile(r"\blicen[cs]ed?\b|\bcopyright\b|\(c\)|©", re.IGNORECASE)
 _VERSION = re.compile(r"\bv?\d+\.\d+\.\d+\b")
 _MADE_PATH = re.compile(r"/(?:__generated__|generated|gen|autogen|codegen)/|\.(?:generated|gen|g|pb|autogen)\.[A-Za-z]+$|_pb2?(?:_grpc)?\.[A-Za-z]+$", re.IGNORECASE)
@@ -100,20 +102,25 @@ def _minified(text: str, code: list[str]) -> bool:
     of its own names have one or two characters.
     """
     words = [t for t in code if (t[0].isalpha() or t[0] in "_$") and t not in _CONTROL]
+    short, names = sum(len(w) <= 2 for w in words), sum(map(len, words)) / max(1, len(words))
+    brief = least_share(short, len(words)) >= 0.35
+    if not words or names >= 5.5 and not brief:
+        return False
     strings = sum(len(t) for t in code if t[0] in "\"'`")
     size = sum(map(len, code))
-    if not words or strings > 0.6 * size:
+    if strings > 0.6 * size:
         return False
     bare = _TOKEN.sub(lambda m: "s" if m.group()[0] in "\"'`" else "" if m.group().startswith(("//", "/*", "\n")) and m.group().strip().startswith(("//", "/*", "#")) else m.group(), "\n" + text)
     lines = [x for x in bare.split("\n") if x.strip()]
     blanks = sum(x.count(" ") + x.count("\t") for x in lines) / max(1, sum(map(len, lines)))
-    names = sum(map(len, words)) / len(words)
     if size / max(1, len(lines)) >= 120 and max(map(len, lines)) >= 250 and blanks < 0.12 and names < 5.5 and len(code) >= 60:
         return True
     marks = [m.span() for m in _MARK.finditer(bare)]
     tight = sum(bare[a - 1 : a] not in ("", " ", "\t", "\n") and bare[b : b + 1] not in (" ", "\t") for a, b in marks)
-    short = sum(len(w) <= 2 for w in words)
-    return blanks < 0.12 and size / max(1, len(lines)) >= 40 and least_share(tight, len(marks)) >= 0.75 and least_share(short, len(words)) >= 0.35
+    return brief and blanks < 0.12 and size / max(1, len(lines)) >= 40 and least_share(tight, len(marks)) >= 0.75
+
+
+_LITERAL, _CONSTANTS = frozenset("0123456789\"'`"), frozenset(["true", "false", "null", "None", "True", "False"])
 
 
 def _data(code: list[str], least: int = 600) -> bool:
@@ -123,13 +130,16 @@ def _data(code: list[str], least: int = 600) -> bool:
     constant somebody wrote. A few tokens of control flow (an accessor) are outweighed
     by enough values.
     """
-    size = values = n_values = control = 0
+    control = sum([t in _CONTROL for t in code])
+    if control and sum([t[0] in _LITERAL for t in code]) + sum([t in _CONSTANTS for t in code]) < 50 * control:
+        return False
+    size = values = n_values = 0
     for n, t in enumerate(code):
         size += len(t)
         f = t[0]
         if t in _CONTROL:
-            control += 1
-        elif f.isdigit() or t in ("true", "false", "null", "None", "True", "False"):
+            pass
+        elif f.isdigit() or t in _CONSTANTS:
             values += len(t)
             n_values += 1
         elif f in "\"'`":
@@ -155,7 +165,7 @@ def signs(path: str, text: str, code: list[str], head: str) -> tuple[str | None,
         return "minified", third
     if _data(code):
         return "data", third
-    if _RUNTIME.search(text):
+    if any(w in text for w in _TRACES) and _RUNTIME.search(text):
         return "generated", third
     if _MADE_PATH.search(path) and _regular(text) >= 0.5:
         return "generated", third
