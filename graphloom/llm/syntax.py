@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +42,12 @@ def repository(path: Column, layout: str = CHECKOUTS) -> Column:
 def first_error(path: str, text: str) -> tuple[int, str] | None:
     """Line (from 1) and kind of a file's first unrecoverable error."""
     dialect = DIALECTS[path.rsplit(".", 1)[-1].lower()]
-    try:
-        fault = parser(dialect).fault(text)
-    except RecursionError:
-        return 1, "nested too deeply"
+    while True:
+        try:
+            fault = parser(dialect).fault(text)
+            break
+        except RecursionError:  # frames of the parser lie on the heap, so depth is a matter of memory only
+            sys.setrecursionlimit(sys.getrecursionlimit() * 4)
     return (text.count("\n", 0, fault.offset) + 1, fault.what) if fault else None
 
 
@@ -64,8 +68,6 @@ def syntax_errors(sources: DataFrame, layout: str = CHECKOUTS) -> DataFrame:
     rows = sources.select("path", "text").filter(F.col("text").isNotNull() & known.isin(list(DIALECTS)))
 
     def run(batches):
-        import sys
-
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         for part in slices(batches, "text"):
             paths = part.column("path").to_pylist()

@@ -127,3 +127,9 @@ def test_script_snippets(dialect):
     assert len(texts) > 300
     for text, valid in texts:
         assert (parser(dialect).fault(text) is None) == valid, text
+
+
+def test_deep_nesting_is_no_fault():
+    assert first_error("a.js", "x = " + "- " * 30_000 + "1;") is None and first_error("a.js", "x = " + "- " * 30_000 + ";") is not None
+    assert first_error("a.json", "[" * 20_000 + "]" * 20_000) is None
+    assert first_error("a.js", "x = " + "a ? " * 8_000 + "b" + " : c" * 8_000 + ";") is None
