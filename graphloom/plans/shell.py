@@ -6,12 +6,17 @@ import argparse
 import json
 import re
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom import __version__
 from graphloom.operators import affected as _affected
-from graphloom.operators import audit, resolve, search, stats, traverse
+from graphloom.operators import impact, resolve, search, stats, traverse
 from graphloom.operators.graph import clean_edges, clean_nodes
+from graphloom.plans import commands
+from graphloom.sources.project import load_custom_edges
 from graphloom.sources.store import SnapshotStore
 
 _READS = re.compile(r"^\s*(?:--[^\n]*\n\s*|/\*[\s\S]*?\*/\s*)*(?:select|with|values|from)\b", re.IGNORECASE)
@@ -46,14 +51,13 @@ def limited(df: DataFrame, limit: int | None) -> tuple[DataFrame, int | None]:
     """The first rows, and the true total if some were left out."""
     if not limit or limit < 1:
         return df, None
-    total = df.count()
-    return (df.limit(limit), total) if total > limit else (df, None)
+    if len(df.select(df.columns[:1]).limit(limit + 1).collect()) <= limit:  # one row more than asked for tells
+        return df, None
+    return df.limit(limit), df.count()
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph as lines of a DOT file (column value), to be written as text."""
-    from pyspark.sql import functions as F
-
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     head = nodes.sparkSession.createDataFrame([("digraph graph_ {",)], "value string")
     a = nodes.select(F.concat(F.lit("  "), quoted(F.col("id")), F.lit(" [label="), quoted(F.concat_ws(":", "type", "name")), F.lit("];")).alias("value"))
@@ -64,14 +68,18 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     """Runs a command over a snapshot store; exit code 0, 1 (findings), 2 (not found) or 3 (usage)."""
     parser = argparse.ArgumentParser(prog="graphloom")
-    parser.add_argument("command", choices=["query", "search", "deps", "callers", "path", "stats", "inspect", "files", "audit", "explore", "affected", "impact"])
-    parser.add_argument("store")
+    parser.add_argument("command", choices=["init", "scan", "update", "config", "query", "search", "deps", "callers", "path", "stats", "inspect", "files", "audit", "explore", "affected", "impact", "help", "version"])
+    parser.add_argument("store", nargs="?")
     parser.add_argument("words", nargs="*")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--depth", type=int, default=None)
     parser.add_argument("--limit", type=int, default=None)
     parser.add_argument("--downstream", action="store_true")
     parser.add_argument("--docs", action="store_true")
+    parser.add_argument("--include-internal", action="store_true")
+    parser.add_argument("--tests-only", action="store_true")
+    parser.add_argument("--filter")
+    parser.add_argument("--root")
     parser.add_argument("--type")
     parser.add_argument("--edge-type")
     parser.add_argument("--from-package")
@@ -80,8 +88,28 @@ def main(argv: list[str] | None = None) -> int:
         a = parser.parse_args(argv)
     except SystemExit:
         return 3
+    if a.command in ("help", "version"):
+        print(parser.format_help() if a.command == "help" else __version__)
+        return 0
+    if not a.store or a.command in ("scan", "update", "config", "query", "search", "deps", "callers", "inspect", "impact", "explore", "affected") and not a.words or a.command == "path" and len(a.words) < 2:
+        print(parser.format_usage(), file=sys.stderr)
+        return 3
     spark = SparkSession.builder.getOrCreate()
     store = SnapshotStore(spark, a.store)
+    now = int(time.time() * 1000)
+    if a.command == "init":
+        print("created" if commands.init_store(store) else "exists")
+        return 0
+    if a.command == "config":
+        with open(a.words[0], encoding="utf-8") as f:
+            edges, warnings = load_custom_edges(f.read())
+        print(json.dumps({"customEdges": edges, "warnings": warnings}, ensure_ascii=False))
+        return 1 if warnings else 0
+    if a.command in ("scan", "update"):
+        run = commands.scan_project if a.command == "scan" else commands.update_project
+        counts = run(spark, a.words[0], store, now)
+        print(json.dumps(counts) if a.json else ", ".join(f"{k} {v}" for k, v in counts.items()))
+        return 0
     store.register()
     nodes, edges = clean_nodes(store.read("nodes")), clean_edges(store.read("edges"))
 
@@ -103,25 +131,32 @@ def main(argv: list[str] | None = None) -> int:
         df = search.search(nodes, words[0], a.type)
     elif command == "deps":
         df = traverse.dependencies(nodes, edges, ids[0], a.downstream, a.depth or 1, a.from_package, a.to_package)
+        df = df.orderBy("hops", "node_name", "edge_id") if (a.depth or 1) > 1 else df.orderBy("node_type", "node_name", "edge_id")
     elif command == "callers":
         df = traverse.callers(nodes, edges, ids[0], a.depth or 1)
+        df = df.orderBy("hops", "node_name", "edge_id") if (a.depth or 1) > 1 else df.orderBy("node_type", "node_name", "edge_id")
     elif command == "path":
         df = traverse.shortest_path(edges, ids[0], ids[1])
     elif command == "stats":
-        df = stats.by_type(nodes, "type")
+        sections = commands.stats_sections(nodes, edges)
+        if a.json:
+            print(json.dumps({k: json.loads(format_json(v)) for k, v in sections.items()}, ensure_ascii=False))
+        else:
+            print("\n\n".join(f"{k}\n{format_table(v)}" for k, v in sections.items()))
+        return 0
     elif command == "inspect":
-        df = traverse.neighbourhood(nodes, edges, ids[0])
+        df = traverse.neighbourhood(nodes, edges, ids[0]).orderBy(F.desc("way"), "edge_type", "node_name", "edge_id")
     elif command == "files":
-        df = stats.file_counts(nodes, words[0] if words else None)
+        df = stats.file_counts(nodes, words[0] if words else None).orderBy("file_path")
     elif command == "audit":
-        df = audit.documentation_issues(nodes) if a.docs else audit.orphan_edges(nodes, edges)
+        df = commands.audit_store(store, a.root, a.docs, a.include_internal)
     elif command == "explore":
         df = traverse.explore_relationships(nodes, edges, search.search(nodes, words[0]))
     elif command == "affected":
-        df = _affected.report(nodes, edges, spark.createDataFrame([(w,) for w in words], "path string"), a.depth or 3)
+        df = _affected.report(nodes, edges, spark.createDataFrame([(w,) for w in words], "path string"), a.depth or 3, a.tests_only, a.filter)
     else:
-        df = traverse.impact_walk(nodes, edges, ids[0], a.depth or 3, a.edge_type)
-    shown, total = limited(df, a.limit)
+        df = impact.impact_report(nodes, edges, ids[0], a.depth or 3, a.edge_type, a.limit or 50, a.from_package, a.to_package)
+    shown, total = limited(df, None if command == "impact" else a.limit)
     print(format_json(shown, 2 if command == "query" else None) if a.json else format_table(shown))
     if total:
         print(f"(truncated, {total} in all)", file=sys.stderr)

@@ -140,11 +140,18 @@ def read_batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     edge = "struct<source:string,target:string,type:string,direction:string,weight:double>"
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter="batch-*.json").select(F.regexp_extract(F.input_file_name(), r"batch-(\d+)\.json$", 1).try_cast("bigint").alias("batch"), F.from_json("value", f"nodes array<{node}>, edges array<{edge}>").alias("b"))
     rows = rows.filter("batch is not null and b is not null")
-    nodes = rows.select("batch", F.posexplode("b.nodes").alias("at", "n")).select((F.col("batch") * 1_000_000 + F.col("at")).alias("nth"), "n.id", "n.type", "n.name", F.col("n.filePath").alias("file_path"), "n.complexity")
-    edges = rows.select("batch", F.posexplode("b.edges").alias("at", "e")).select((F.col("batch") * 1_000_000 + F.col("at")).alias("edge_id"), "e.source", "e.target", F.col("e.type").alias("edge_type"), "e.direction", "e.weight")
+    nodes = rows.select("batch", F.posexplode("b.nodes").alias("at", "n")).select((F.col("batch") * 2**32 + F.col("at")).alias("nth"), "n.id", "n.type", "n.name", F.col("n.filePath").alias("file_path"), "n.complexity")
+    edges = rows.select("batch", F.posexplode("b.edges").alias("at", "e")).select((F.col("batch") * 2**32 + F.col("at")).alias("edge_id"), "e.source", "e.target", F.col("e.type").alias("edge_type"), "e.direction", "e.weight")
     return nodes, edges
 
 
 def fingerprint(sources: DataFrame) -> DataFrame:
-    """A structural fingerprint per file: path and a hash of its text without blanks."""
-    return sources.select("path", F.sha2(F.regexp_replace("text", r"\s+", " "), 256).alias("fingerprint"))
+    """A structural fingerprint per TypeScript file: path and a hash of what it declares and imports.
+
+    Bodies, layout and comments do not count, the order of declarations neither.
+    """
+    from graphloom.operators.scan import extract
+
+    facts = extract(sources).filter("rel in ('node', 'import')")
+    told = F.array_sort(F.collect_list(F.struct("rel", "type", F.coalesce("name", "specifier").alias("name"), F.coalesce("tags", F.lit("")).alias("tags"))))
+    return facts.groupBy("path").agg(F.sha2(F.to_json(told), 256).alias("fingerprint"))

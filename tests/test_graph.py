@@ -263,3 +263,38 @@ def test_stream_of_observations(spark, tmp_path):
 def test_empty_graphs(spark, call):
     n, e = clean_nodes(spark.createDataFrame([], NODES)), clean_edges(spark.createDataFrame([], EDGES))
     assert call(n, e).count() <= 1
+
+
+def test_commands_scan_update_and_audit_a_project(spark, tmp_path, capsys):
+    root, store = tmp_path / "p", f"file://{tmp_path}/s"
+    (root / "src").mkdir(parents=True)
+    (root / "tsconfig.json").write_text("{}")
+    (root / "src" / "a.ts").write_text("/** Adds. @param x one */\nexport function add(x: number, y: number): number { return x + y; }\n")
+    (root / "src" / "b.ts").write_text("import { add } from './a';\nexport const twice = (n: number) => add(n, n);\n")
+    run = lambda *w: (shell.main([*w]), capsys.readouterr().out)
+    assert run("init", store)[1].strip() == "created" and run("init", store)[1].strip() == "exists"
+    code, out = run("scan", store, str(root), "--json")
+    counts = json.loads(out)
+    assert code == 0 and counts["files"] == 2 and counts["nodes"] >= 4
+    assert json.loads(run("update", store, str(root), "--json")[1]) == {"changed": 0}
+    (root / "src" / "b.ts").write_text("import { add } from './a';\nexport const thrice = (n: number) => add(n, add(n, n));\n")
+    assert json.loads(run("update", store, str(root), "--json")[1])["changed"] == 1
+    names = {r["name"] for r in SnapshotStore(spark, store).read("nodes").filter("type = 'function'").collect()}
+    assert "thrice" in names and "twice" not in names
+    (root / "src" / "b.ts").unlink()
+    code, out = run("audit", store, "--docs", "--json")
+    found = {(r["check"], r["detail"]) for r in json.loads(out)}
+    assert code == 1 and {c for c, _ in found} >= {"missing_files", "stale_symbols", "documentation_issues"} and ("documentation_issues", "missing_param y") in found
+    code, out = run("stats", store)
+    assert code == 0 and "nodes by type" in out and "most imported" in out
+    code, out = run("impact", store, "add", "--json")
+    assert code == 0 and any(r["section"] == "upstream" for r in json.loads(out))
+    assert run("version")[0] == 0 and "usage" in run("help")[1] and run("scan", store)[0] == 3
+
+
+def test_fingerprints_see_declarations_only(spark):
+    texts = ["export function a(x) { return 1 }\nconst b = () => 2\n", "// c\nconst b = () => { return 3 }\n\nexport function a(x) { return 4 }\n", "export function a2(x) { return 1 }\nconst b = () => 2\n"]
+    found = {r["path"]: r["fingerprint"] for r in project.fingerprint(spark.createDataFrame([("/x.ts", t, n) for n, t in enumerate(texts[:1])] + [("/y.ts", texts[1], 1), ("/z.ts", texts[2], 2)], "path string, text string, n int").withColumn("path", F.col("path"))).collect()}
+    assert len(found) == 3 and len(set(found.values())) == 3  # a file's name is part of what it declares
+    same = [project.fingerprint(spark.createDataFrame([("/x.ts", t)], "path string, text string")).first()["fingerprint"] for t in texts]
+    assert same[0] == same[1] != same[2]
