@@ -13,8 +13,9 @@ from graphloom.functions.paths import file_group, group_ordinal
 from graphloom.operators import audit, freshness, impact, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans.star import STAR_SQL, star_edges, star_nodes
-from graphloom.sources.graph_store import graph_store
+from graphloom.sources.graph_store import graph_store, stored_once
 from graphloom.sources.tables import table
+from graphloom.workspace import Scratch
 
 REGION = "region:/w/region:2"
 HOT = "function:/srv/checkouts/_platform/runtime/src/store.ts:useShelf"
@@ -316,13 +317,23 @@ def import_resolution(spark, d):
     return ingest.resolve_imports(text.select(F.col("path").alias("importer"), spec.alias("specifier")), files)
 
 
+def _scanned(spark, d):
+    """Nodes and edges of one scan of the sources, saved."""
+
+    def build():
+        scratch, texts = Scratch(spark, "scanned"), table(spark, d, "sources", "path", "text")
+        nodes, edges = scan.scan(texts, _configs(texts))
+        return scratch.save(nodes, "nodes"), scratch.save(edges, "edges")
+
+    return stored_once(spark, "scan", [f"{d}/sources.parquet"], build)
+
+
 def ingest_nodes(spark, d):
-    texts = table(spark, d, "sources", "path", "text")
-    return scan.scan(texts, _configs(texts))[0]
+    return _scanned(spark, d)[0]
 
 
 def ingest_edges(spark, d):
-    return scan.scan(table(spark, d, "sources", "path", "text"))[1]
+    return _scanned(spark, d)[1]
 
 
 def stale_symbols(spark, d):

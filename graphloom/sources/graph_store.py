@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.workspace import Scratch
 
-_STORES: dict[tuple, GraphStore] = {}
+_STORES: dict[tuple, tuple] = {}
 
 
 class GraphStore:
@@ -43,12 +43,14 @@ def _state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(found)
 
 
+def stored_once(spark: SparkSession, name: str, paths: list[str], build: Callable[[], object]) -> object:
+    """What build makes of some tables, made again only when they are new to this session."""
+    key, state = (spark.sparkContext.applicationId, name, *paths), _state(spark, paths)
+    if key not in _STORES or _STORES[key][0] != state:
+        _STORES[key] = (state, build())
+    return _STORES[key][1]
+
+
 def graph_store(spark: SparkSession, name: str, paths: list[str], build: Callable[[], tuple[DataFrame, DataFrame]]) -> GraphStore:
     """The store of a graph, built from its tables when they are new to this session."""
-    key = (spark.sparkContext.applicationId, name, *paths)
-    state = _state(spark, paths)
-    held = _STORES.get(key)
-    if held is None or held.state != state:
-        held = _STORES[key] = GraphStore(spark, *build())
-        held.state = state
-    return held
+    return stored_once(spark, name, paths, lambda: GraphStore(spark, *build()))
