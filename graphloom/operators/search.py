@@ -48,11 +48,15 @@ def phrase_search(nodes: DataFrame, keyword: str, node_type: str | None = None,
     # an overlapping count: each token boundary is kept by doubling the blanks
     spaced = [F.regexp_replace(tokens(F.col(c)), " ", "  ") for c in TEXT_COLUMNS]
     phrase = " " + "  ".join(words)
-    hits = sum((F.expr("0"), *[F.regexp_count(s, F.lit(phrase)) for s in spaced]), F.lit(0))
+    hits = sum((F.expr("0"), *[F.regexp_count(s, F.lit(f"(?={phrase})")) for s in spaced]), F.lit(0))
     length = sum((*[F.size(F.filter(F.split(s, " "), lambda x: x != "")) for s in spaced],), F.lit(0))
     rows = nodes.select("id", "type", "name", "file_path", "summary", hits.alias("f"), length.alias("len"))
     corpus = rows.agg(F.count("*").alias("all"), F.avg("len").alias("avg_len"), F.count_if(F.col("f") > 0).alias("with"))
-    rows = rows.filter("f > 0")
+    return ranked(rows.filter("f > 0"), corpus, keyword, node_type, inner, most)
+
+
+def ranked(rows: DataFrame, corpus: DataFrame, keyword: str, node_type: str | None, inner: int, most: int) -> DataFrame:
+    """The top list of matching rows (id, type, name, file_path, summary, f, len) of a corpus (all, avg_len, with; one row)."""
     if node_type:
         rows = rows.filter(F.col("type") == node_type)
     idf = F.greatest(F.log((F.col("all") - F.col("with") + 0.5) / (F.col("with") + 0.5)), F.lit(1e-6))

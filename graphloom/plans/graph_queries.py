@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import file_group, group_ordinal
 from graphloom.operators import audit, freshness, impact, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
+from graphloom.operators.search_index import SearchIndex, indexed_search
 from graphloom.plans.star import STAR_SQL, star_edges, star_nodes
 from graphloom.sources.graph_store import graph_store, stored_once
 from graphloom.sources.tables import table
@@ -143,7 +144,22 @@ def search_like(spark, d):
     return search.like_search(_nodes(spark, d), "ledger")
 
 
+def _index(spark, d):
+    paths = [f"{d}/{t}.parquet" for t in ("nodes", "library_nodes")]
+    return stored_once(spark, "search", paths, lambda: SearchIndex.build(_nodes(spark, d)))
+
+
+def search_stored(spark, d):
+    """Builds the search index, if it is new, and counts it."""
+    index = _index(spark, d)
+    return index.postings.agg(F.countDistinct("token").alias("n_tokens"), F.count("*").alias("n_postings")).crossJoin(F.broadcast(index.corpus.select(F.col("all").alias("n_nodes"))))
+
+
 def search_fts(spark, d):
+    return indexed_search(_index(spark, d), _nodes(spark, d), "src index")
+
+
+def search_scan(spark, d):
     return search.phrase_search(_nodes(spark, d), "src index")
 
 
@@ -384,7 +400,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         graph_stored, path_shortest, path_labels, inspect, resolve_exact, resolve_partial, resolve_type_name, stats_totals, stats_nodes_by_type, stats_edges_by_type, stats_bars, stats_top_imported, stats_largest_files, stats_packages, tag_distribution, files_counts, files_pattern,
-        search_like, search_fts, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_level, impact_buckets, impact_tests, impact_report, orphan_edges, duplicate_nodes, missing_files, documentation_audit, documentation_params, audit_all, stale_files, freshness_block, update_counters,
+        search_like, search_stored, search_fts, search_scan, search_dispatch, explore_fanout, affected_files, affected_groups, affected_tests, impact_walk, impact_level, impact_buckets, impact_tests, impact_report, orphan_edges, duplicate_nodes, missing_files, documentation_audit, documentation_params, audit_all, stale_files, freshness_block, update_counters,
         delete_files, node_counts_per_file, placeholders, dedup_edges, canonical_edges, call_resolution, custom_edges_same_file, custom_edges_imported, custom_edges_all, package_owner, batch_plan, import_resolution, ingest_nodes, ingest_edges, stale_symbols, legacy_ids, legacy_fix_counts, legacy_edge_dedup, legacy_complexity, legacy_tested_by, legacy_import_recovery,
     )
 }

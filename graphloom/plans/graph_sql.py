@@ -164,6 +164,8 @@ judged AS (SELECT old_id, new_id, CASE WHEN old_id = new_id THEN 'unchanged' WHE
 """
 
 ORACLES = {
+    "search_stored": f"""WITH {_GRAPH}, words AS (SELECT unnest(list_concat({", ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')" for c in ("id", "name", "file_path", "summary", "documentation", "tags"))})) AS token FROM gn)
+SELECT count(DISTINCT token) AS n_tokens, count(*) AS n_postings, (SELECT count(*) FROM gn) AS n_nodes FROM words""",
     "legacy_ids": f"WITH {_LEGACY_IDS} SELECT old_id, new_id, fix FROM judged",
     "legacy_fix_counts": f"WITH {_LEGACY_IDS} SELECT fix, count(*) AS n FROM judged GROUP BY fix",
     "documentation_audit": f"""WITH {_GRAPH},
@@ -264,3 +266,4 @@ SELECT source, target, edge_type, direction, weight, edge_id FROM (SELECT *, row
 SELECT DISTINCT s.id AS source, t.id AS target, 0.7 AS weight FROM resolved r JOIN ids s ON s.file_path = r.importer JOIN ids t ON t.file_path = r.target_path
 WHERE NOT EXISTS (SELECT 1 FROM ge e WHERE e.edge_type = 'imports' AND e.source = s.id AND e.target = t.id)""",
 }
+ORACLES["search_scan"] = ORACLES["search_fts"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import file_group, filter_glob, glob_regex, relative_path
 from graphloom.operators import affected, audit, freshness, ingest, legacy, resolve, scan, search, stats, traverse, update
 from graphloom.operators.graph import clean_edges, clean_nodes
+from graphloom.operators.search_index import SearchIndex, indexed_search
 from graphloom.plans import shell
 from graphloom.sources import project
 from graphloom.sources.store import SnapshotStore
@@ -298,3 +299,18 @@ def test_fingerprints_see_declarations_only(spark):
     assert len(found) == 3 and len(set(found.values())) == 3  # a file's name is part of what it declares
     same = [project.fingerprint(spark.createDataFrame([("/x.ts", t)], "path string, text string")).first()["fingerprint"] for t in texts]
     assert same[0] == same[1] != same[2]
+
+
+def test_the_search_index_equals_the_scan(spark):
+    rng = random.Random(5)
+    words = ["load", "Ledger", "book", "straße", "x1", "loader", "-", "ledger_book"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n))) or None
+    rows = [(f"function:/a/{i}.ts:f{i}", "function", text(2) or "f", f"/a/{i}.ts", 1, 1, text(8), text(9), text(3), None, None) for i in range(60)]
+    n = clean_nodes(spark.createDataFrame(rows, NODES))
+    index = SearchIndex.build(n)
+    moved = n.filter("id < 'function:/a/3'").withColumn("summary", F.lit("ledger book book"))
+    after = n.filter("id >= 'function:/a/3'").unionByName(moved)
+    renewed = index.replaced(n.filter("id < 'function:/a/3'"), moved)
+    for some, nodes in ((index, n), (renewed, after)):
+        for keyword in ("load", "ledger book", "book led", "straße x", "lo", "none", "--", "book book"):
+            assert [tuple(r) for r in indexed_search(some, nodes, keyword).collect()] == [tuple(r) for r in search.phrase_search(nodes, keyword).collect()], keyword
