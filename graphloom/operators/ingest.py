@@ -162,16 +162,45 @@ def plan_batches(owned: DataFrame, size: int = 32) -> DataFrame:
     return rows.select("path", "config_dir", F.floor((F.col("before") + F.col("nth") - 1) / size).cast("int").alias("batch"))
 
 
+def _folded(path):
+    """A path with its . and .. segments resolved."""
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.array_append(acc, x)))
+    return F.array_join(parts, "/")
+
+
+def _tried(stems: DataFrame, files: DataFrame, *rank: str) -> DataFrame:
+    """The first existing file of each (importer, specifier) among its stems with the known suffixes."""
+    tries = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(s).alias("suffix")) for n, s in enumerate(IMPORT_SUFFIXES)])
+    each = stems.withColumn("t", F.explode(tries)).select("importer", "specifier", *rank, "t.nth", F.concat("stem", "t.suffix").alias("candidate"))
+    met = each.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    return met.groupBy("importer", "specifier").agg(F.min(F.struct(*rank, "nth", "candidate")).alias("b")).select("importer", "specifier", F.col("b.candidate").alias("target_path"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """The file each relative specifier names: importer, specifier, target_path (null if none).
 
     ``.`` and ``..`` segments are resolved, then the known suffixes are tried in order.
     """
-    base = F.regexp_replace("importer", "/[^/]*$", "")
-    parts = F.split(F.concat_ws("/", base, "specifier"), "/")
-    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.array_append(acc, x)))
     rows = imports.select("importer", "specifier").distinct().filter(F.col("specifier").startswith("."))
-    tries = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(s).alias("suffix")) for n, s in enumerate(IMPORT_SUFFIXES)])
-    each = rows.withColumn("stem", F.array_join(folded, "/")).withColumn("t", F.explode(tries)).select("importer", "specifier", "t.nth", F.concat("stem", "t.suffix").alias("candidate"))
-    met = each.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("importer", "specifier").agg(F.min(F.struct("nth", "candidate")).alias("b"))
-    return rows.join(met, ["importer", "specifier"], "left").select("importer", "specifier", F.col("b.candidate").alias("target_path"))
+    stems = rows.withColumn("stem", _folded(F.concat_ws("/", F.regexp_replace("importer", "/[^/]*$", ""), "specifier")))
+    return rows.join(_tried(stems, files), ["importer", "specifier"], "left").select("importer", "specifier", "target_path")
+
+
+def resolve_aliases(imports: DataFrame, files: DataFrame, owned: DataFrame, configs: DataFrame) -> DataFrame:
+    """The file each other specifier names by its configuration: importer, specifier, target_path.
+
+    owned gives config_dir of a path, configs has dir, base_url and paths. A rule
+    matches exactly or by one *; of several the longest prefix that leads to a file
+    wins, its targets in order; then the base directory is tried. Packages give no row.
+    """
+    rows = imports.select("importer", "specifier").distinct().filter(~F.col("specifier").startswith("."))
+    own = rows.join(owned.select(F.col("path").alias("importer"), F.col("config_dir").alias("dir")), "importer").join(configs.select("dir", "base_url", "paths"), "dir")
+    rules = own.select("importer", "specifier", F.explode("paths").alias("r")).select("importer", "specifier", "r.*")
+    before, after = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    star = F.col("pattern").contains("*")
+    fits = F.when(star, F.startswith("specifier", before) & F.endswith("specifier", after) & (F.length("specifier") >= F.length("pattern") - 1)).otherwise(F.col("specifier") == F.col("pattern"))
+    middle = F.expr("substring(specifier, length(substring_index(pattern, '*', 1)) + 1, length(specifier) - length(pattern) + 1)")
+    ruled = rules.filter(fits).select("importer", "specifier", F.when(star, -F.length(before)).otherwise(-(2**30)).alias("place"), F.col("nth").alias("turn"), F.when(star, F.replace("target", F.lit("*"), middle)).otherwise(F.col("target")).alias("stem"))
+    based = own.filter("base_url is not null").select("importer", "specifier", F.lit(1).alias("place"), F.lit(0).alias("turn"), F.concat_ws("/", "base_url", "specifier").alias("stem"))
+    stems = ruled.unionByName(based).withColumn("stem", _folded(F.col("stem")))
+    return _tried(stems, files, "place", "turn")

@@ -44,7 +44,8 @@ def scan(sources: DataFrame, configs: DataFrame | None = None) -> tuple[DataFram
     Relative imports, default and named bindings, and calls are resolved across
     files by joins; unresolved calls and wildcard targets get placeholder nodes; nodes
     are kept once by id and edges once by (source, target, type, metadata), the last
-    row of each. configs (column dir) gives the package of a file.
+    row of each. configs (column dir) gives the package of a file; with columns base_url
+    and paths also the files that specifiers without a leading dot name.
     """
     scratch = Scratch(sources.sparkSession, "scan")
     facts = scratch.save(extract(sources), "facts")
@@ -52,7 +53,10 @@ def scan(sources: DataFrame, configs: DataFrame | None = None) -> tuple[DataFram
     nodes = ingest.keep_last(facts.filter("rel = 'node'").select(*node_cols), ["id"], "nth")
     paths = facts.select("path").distinct()
     imports = facts.filter("rel = 'import'").select(F.col("path").alias("importer"), "specifier", "declaration")
-    targets = scratch.save(ingest.resolve_imports(imports, paths).filter("target_path is not null"), "imports")
+    found = ingest.resolve_imports(imports, paths).filter("target_path is not null")
+    if configs is not None and "paths" in configs.columns:
+        found = found.unionByName(ingest.resolve_aliases(imports, paths, ingest.package_owner(paths, configs), configs))
+    targets = scratch.save(found, "imports")
     file_edges = imports.join(targets, ["importer", "specifier"]).select(F.concat(F.lit("file:"), "importer").alias("source"), F.concat(F.lit("file:"), "target_path").alias("target"), F.lit("imports").alias("edge_type"), F.lit(None).cast("string").alias("metadata"), "declaration")
     bound = facts.filter("rel = 'binding'").select(F.col("path").alias("importer"), "specifier", "declaration", "binding", "kind", F.col("local").alias("local_name"), F.col("imported").alias("imported_name"))
     bindings = bound.join(targets, ["importer", "specifier"]).select(F.col("importer").alias("file_path"), "declaration", "binding", F.col("target_path").alias("target_file"), "kind", "local_name", "imported_name")

@@ -21,7 +21,7 @@ def scan_project(spark: SparkSession, root: str, store: SnapshotStore, now_ms: i
     without a file that the project does not bring are kept, as an update does.
     """
     texts, configs = project.load_project(spark, root), project.discover_configs(spark, root)
-    nodes, edges = scan.scan(texts, configs.select("dir"))
+    nodes, edges = scan.scan(texts, configs)
     if keep_external:
         nodes = update.restore_external(nodes, store.read("nodes"))
     numbered = ingest.canonical_order(edges.withColumn("metadata", F.coalesce("metadata", F.lit(""))))

@@ -6,10 +6,12 @@ import json
 import posixpath
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import glob_regex
+from graphloom.workspace import Scratch
 
 #: Directories that are never read.
 SKIPPED = r"/(?:node_modules|\.git|dist|build|\.next|\.turbo|out|coverage)/"
@@ -32,55 +34,93 @@ def parse_tsconfig(text: str) -> dict:
     return json.loads(re.sub(r",(\s*[}\]])", r"\1", plain))
 
 
-def discover_configs(spark: SparkSession, root: str) -> DataFrame:
-    """The tsconfig.json files below root: path, dir, include and exclude as arrays (null if not given)."""
-    rows = read_files(spark, root, "tsconfig.json").collect()  # one small file per package
-    out = []
-    for r in rows:
-        config = parse_tsconfig(bytes(r["content"]).decode("utf-8", "replace"))
-        out.append((r["path"], r["path"].rsplit("/", 1)[0], config.get("include"), config.get("exclude")))
-    return spark.createDataFrame(out, "path string, dir string, include array<string>, exclude array<string>")
+_CONFIG = "path string, dir string, include string, exclude string, parent string, base_url string, paths array<struct<pattern:string,nth:int,target:string>>"
+
+
+def _config_row(path: str, text: str) -> dict | None:
+    """What a configuration says, with globs as one regular expression and paths made absolute; None if unreadable."""
+    try:
+        config = parse_tsconfig(text)
+        options = config.get("compilerOptions") or {}
+        base = posixpath.dirname(path)
+        whole = lambda p: posixpath.normpath(posixpath.join(base, p))
+
+        def globs(names: list[str] | None, files: list[str] | None = None) -> str | None:
+            if names is None and files is None:
+                return None
+            spread = [g if re.search(r"[*?]|\.[a-z]+$", g) else g.rstrip("/") + "/**" for g in names or []]
+            return "|".join(glob_regex(whole(g)) for g in [*spread, *(files or [])]) or "(?!)"
+
+        parent = config.get("extends")
+        parent = whole(parent if parent.endswith(".json") else parent + ".json") if isinstance(parent, str) and parent.startswith(".") else None
+        root = whole(options["baseUrl"]) if options.get("baseUrl") else None
+        rules = options.get("paths")
+        paths = None if rules is None else [{"pattern": k, "nth": n, "target": posixpath.normpath(posixpath.join(root or base, t))} for k, ts in rules.items() for n, t in enumerate(ts)]
+        return {"path": path, "dir": base, "include": globs(config.get("include"), config.get("files")), "exclude": globs(config.get("exclude")), "parent": parent, "base_url": root, "paths": paths}
+    except (ValueError, AttributeError, TypeError):
+        return None
+
+
+def discover_configs(spark: SparkSession, root: str, depth: int = 5) -> DataFrame:
+    """The tsconfig.json files below root: path, dir, include, exclude, base_url, paths.
+
+    include (with files) and exclude are regular expressions over absolute paths, or
+    null; paths are the rules for import specifiers, each with its absolute target.
+    What a configuration does not say it takes from the one it extends, up to depth
+    steps. Parsed where the files are read; unreadable ones are left out.
+    """
+    arrow = pa.schema([(c, pa.string()) for c in ("path", "dir", "include", "exclude", "parent", "base_url")] + [("paths", pa.list_(pa.struct([("pattern", pa.string()), ("nth", pa.int32()), ("target", pa.string())])))])
+
+    def run(batches):
+        for batch in batches:
+            rows = [_config_row(p, (c or b"").decode("utf-8", "replace")) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_pylist([r for r in rows if r], schema=arrow)
+
+    every = Scratch(spark, "configs").save(read_files(spark, root, "*.json").filter(F.col("path").rlike(r"/tsconfig[^/]*\.json$")).select("path", "content").mapInArrow(run, _CONFIG), "configs")
+    own = every.filter(F.col("path").endswith("/tsconfig.json"))
+    said = ["include", "exclude", "base_url", "paths"]
+    above = every.select(F.col("path").alias("at"), F.col("parent").alias("next"), *[F.col(c).alias(f"_{c}") for c in said])
+    for _ in range(depth):
+        own = own.join(above, F.col("parent") == F.col("at"), "left").select("path", "dir", F.col("next").alias("parent"), *[F.coalesce(c, f"_{c}").alias(c) for c in said])
+    return own.drop("parent")
+
+
+def ancestors(files: DataFrame) -> DataFrame:
+    """Each path with each directory above it: path, dir."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.select("path").distinct().select("path", F.explode(ups).alias("dir"))
+
+
+def claims(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """Which configurations claim which files: path, config_dir.
+
+    A configuration claims what lies in its directory and fits its include and not its
+    exclude globs. Files meet the configurations of their own ancestors by equality.
+    """
+    met = ancestors(files).join(configs.select("dir", "include", "exclude"), "dir")
+    fits = F.coalesce(F.rlike("path", F.col("include")), F.lit(True)) & ~F.coalesce(F.rlike("path", F.col("exclude")), F.lit(False))
+    return met.filter(fits).select("path", F.col("dir").alias("config_dir"))
 
 
 def load_project(spark: SparkSession, root: str) -> DataFrame:
     """The TypeScript texts of a project: path, text.
 
     Files of the root configuration if it has any; else of all configurations; without
-    one, or where none claims a file, every .ts and .tsx file. A configuration claims
-    what lies in its directory and fits its include and not its exclude globs.
+    one, or where none claims a file, every .ts and .tsx file.
     """
     files = read_files(spark, root, "*.{ts,tsx}").select("path", F.decode("content", "utf-8").alias("text"))
     top = root.rstrip("/").removeprefix("file://")
-    configs = [r for r in discover_configs(spark, root).collect()]
-    chosen = [c for c in configs if c["dir"] == top] or configs
-    for group in (chosen, configs):
-        if not group:
-            continue
-        claims = [_claim(c) for c in group]
-        hit = claims[0]
-        for c in claims[1:]:
-            hit = hit | c
-        claimed = files.filter(hit)
-        if not claimed.isEmpty():
-            return claimed
+    claimed = Scratch(spark, "claims").save(claims(files, discover_configs(spark, root)), "claims")
+    for some in (claimed.filter(F.col("config_dir") == top), claimed):
+        if not some.isEmpty():
+            return files.join(some.select("path").distinct(), "path", "left_semi")
     return files
 
 
-def _claim(config):
-    path, base = F.col("path"), config["dir"]
-    hit = path.startswith(base + "/")
-    if config["include"] is not None:
-        globs = [g if re.search(r"[*?]|\.[a-z]+$", g) else g.rstrip("/") + "/**" for g in config["include"]]
-        hit = hit & (path.rlike("|".join(glob_regex(posixpath.normpath(posixpath.join(base, g))) for g in globs)) if globs else F.lit(False))
-    if config["exclude"]:
-        globs = [g if re.search(r"[*?]|\.[a-z]+$", g) else g.rstrip("/") + "/**" for g in config["exclude"]]
-        hit = hit & ~path.rlike("|".join(glob_regex(posixpath.normpath(posixpath.join(base, g))) for g in globs))
-    return hit
-
-
-def choose_owner(claims: DataFrame) -> DataFrame:
+def choose_owner(claimed: DataFrame) -> DataFrame:
     """Of several configurations claiming a file the deepest, then the first path: path, config_dir."""
-    rows = claims.select("path", "config_dir").groupBy("path").agg(F.min(F.struct((-F.size(F.split("config_dir", "/"))).alias("up"), "config_dir")).alias("b"))
+    rows = claimed.select("path", "config_dir").groupBy("path").agg(F.min(F.struct((-F.size(F.split("config_dir", "/"))).alias("up"), "config_dir")).alias("b"))
     return rows.select("path", F.col("b.config_dir").alias("config_dir"))
 
 

@@ -314,3 +314,24 @@ def test_the_search_index_equals_the_scan(spark):
     for some, nodes in ((index, n), (renewed, after)):
         for keyword in ("load", "ledger book", "book led", "straße x", "lo", "none", "--", "book book"):
             assert [tuple(r) for r in indexed_search(some, nodes, keyword).collect()] == [tuple(r) for r in search.phrase_search(nodes, keyword).collect()], keyword
+
+
+def test_imports_resolve_through_configurations(spark, tmp_path):
+    (tmp_path / "pkg/src/deep").mkdir(parents=True)
+    (tmp_path / "pkg/lib").mkdir()
+    (tmp_path / "tsconfig.base.json").write_text('{"compilerOptions": {"paths": {"@x/*": ["pkg/none/*", "pkg/lib/*"], "@x/deep/*": ["pkg/src/deep/*"], "exact": ["pkg/lib/one"]}}, "exclude": ["pkg/lib/skip"]}')
+    (tmp_path / "tsconfig.mid.json").write_text('{"extends": "./tsconfig.base", }')
+    (tmp_path / "pkg/tsconfig.json").write_text('{"extends": "../tsconfig.mid.json", "compilerOptions": {"baseUrl": "src"}} // c')
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/tsconfig.json").write_text("{nonsense")
+    texts = {"pkg/src/a.ts": "import { one } from '@x/one'; import d from '@x/deep/d'; import e from 'exact'; import b from 'b'; import r from 'react';\nexport function go() { return one(); }\n", "pkg/src/b.ts": "export default 1\n", "pkg/src/deep/d.ts": "export default 2\n", "pkg/lib/one.ts": "export function one() {}\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    configs = project.discover_configs(spark, str(tmp_path))
+    assert [r["dir"] for r in configs.collect()] == [str(tmp_path / "pkg")]
+    sources = project.load_project(spark, str(tmp_path))
+    assert {r["path"] for r in sources.collect()} == {str(tmp_path / n) for n in texts}
+    nodes, edges = scan.scan(sources, configs)
+    got = {r["target"].split("pkg/")[1] for r in edges.filter("edge_type = 'imports'").collect()}
+    assert got == {"lib/one.ts", "src/deep/d.ts", "src/b.ts"}
+    assert edges.filter("edge_type = 'calls' and target like 'function:%one.ts:one'").count() == 1
