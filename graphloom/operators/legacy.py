@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.workspace import Scratch
+
 #: The id prefixes of merged batches, and the other spellings of complexity.
 PREFIXES = ["file", "func", "function", "class", "module", "concept", "config", "document", "service", "table", "endpoint", "pipeline", "schema", "resource", "domain", "flow", "step", "article", "entity", "topic", "claim", "source"]
 SIMPLE, MODERATE, COMPLEX = ["simple", "low", "easy"], ["moderate", "medium", "intermediate"], ["complex", "high", "hard", "difficult"]
@@ -130,3 +132,50 @@ def recover_imports(imported: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     pairs = imported.join(ids.select(F.col("file_path").alias("importer"), F.col("id").alias("source")), "importer").join(ids.select(F.col("file_path").alias("imported"), F.col("id").alias("target")), "imported")
     have = edges.filter("edge_type = 'imports'").select("source", "target").distinct()
     return pairs.select("source", "target").distinct().join(have, ["source", "target"], "left_anti").withColumn("weight", F.lit(0.7))
+
+
+def merge_batches(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The merged graph of batches, and a report of what was corrected: nodes, edges, report.
+
+    nodes and edges are those of ``read_batches``. Ids are normalized, the last node of
+    each id and the heaviest edge of each link kept, edges without both ends dropped,
+    tests linked to what they test. report has section, item and n: input and output
+    counts, fixes by kind, links made, and what could not be fixed by kind.
+    """
+    scratch = Scratch(nodes.sparkSession, "batches")
+    new = normalized_id(F.col("id"), F.col("type"), F.col("file_path"), F.col("name"))
+    named = scratch.save(nodes.filter("id is not null").select("*", new.alias("new_id")), "named")
+    ids = named.select(F.col("id").alias("old_id"), "new_id").groupBy("old_id").agg(F.max("new_id").alias("new_id"))
+    merged = scratch.save(merge_nodes(nodes), "nodes")
+    rewritten = scratch.save(merge_edges(edges, ids, merged), "edges")
+    linked = scratch.save(link_tests(merged, rewritten), "linked")
+    tested = linked.select("source", "target", F.lit("tested_by").alias("edge_type"), F.lit("forward").alias("direction"), F.lit(0.5).alias("weight"), F.lit(None).cast("bigint").alias("edge_id"))
+    out = rewritten.filter("edge_type != 'tested_by'").unionByName(tested)
+
+    def told(rows: DataFrame, section: str, item) -> DataFrame:
+        return rows.groupBy(item.alias("item")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "item", "n")
+
+    ends = edges.join(ids.select(F.col("old_id").alias("source"), F.col("new_id").alias("ns")), "source", "left").join(ids.select(F.col("old_id").alias("target"), F.col("new_id").alias("nt")), "target", "left")
+    moved = (F.coalesce("ns", "source") != F.col("source")) | (F.coalesce("nt", "target") != F.col("target"))
+    known = merged.select(F.col("id").alias("k"))
+    a, b = ends.select(F.coalesce("ns", "source").alias("k")), ends.select(F.coalesce("nt", "target").alias("k"))
+    usual = F.lower(F.trim("complexity")).isin("simple", "moderate", "complex")
+    parts = [
+        told(nodes, "input", F.lit("nodes")),
+        told(edges, "input", F.lit("edges")),
+        told(named.select(id_fix(F.col("id"), F.col("new_id")).alias("fix")).filter("fix != 'unchanged'"), "fixed", F.concat(F.lit("id: "), F.col("fix"))),
+        told(named.filter(~usual), "fixed", F.concat(F.lit("complexity: "), F.col("complexity"))),
+        told(ends.filter(moved), "fixed", F.lit("edges rewritten")),
+        told(linked.filter("origin = 'flipped'"), "fixed", F.lit("tested_by turned round")),
+        told(linked.filter("origin = 'path'"), "linked", F.lit("tested_by by path")),
+        told(linked.select("source").distinct(), "linked", F.lit("nodes tagged tested")),
+        told(named.filter(~F.coalesce(F.col("type").isin(*PREFIXES), F.lit(False))), "unfixed", F.concat(F.lit("node type: "), F.coalesce("type", F.lit("null")))),
+        told(a.join(known, "k", "left_anti"), "unfixed", F.lit("edges without source")),
+        told(b.join(known, "k", "left_anti"), "unfixed", F.lit("edges without target")),
+        told(merged, "output", F.lit("nodes")),
+        told(out, "output", F.lit("edges")),
+    ]
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    return merged, out, report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import sys
 import time
@@ -16,6 +17,7 @@ from graphloom.operators import affected as _affected
 from graphloom.operators import impact, resolve, search, stats, traverse
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.plans import commands
+from graphloom.sources.hooks import install_hooks
 from graphloom.sources.project import load_custom_edges
 from graphloom.sources.store import SnapshotStore
 
@@ -68,7 +70,7 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     """Runs a command over a snapshot store; exit code 0, 1 (findings), 2 (not found) or 3 (usage)."""
     parser = argparse.ArgumentParser(prog="graphloom")
-    parser.add_argument("command", choices=["init", "scan", "update", "config", "query", "search", "deps", "callers", "path", "stats", "inspect", "files", "audit", "explore", "affected", "impact", "help", "version"])
+    parser.add_argument("command", choices=["init", "scan", "update", "config", "install-hooks", "query", "search", "deps", "callers", "path", "stats", "inspect", "files", "audit", "explore", "affected", "impact", "help", "version"])
     parser.add_argument("store", nargs="?")
     parser.add_argument("words", nargs="*")
     parser.add_argument("--json", action="store_true")
@@ -80,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--tests-only", action="store_true")
     parser.add_argument("--filter")
     parser.add_argument("--root")
+    parser.add_argument("--force", action="store_true")
     parser.add_argument("--type")
     parser.add_argument("--edge-type")
     parser.add_argument("--from-package")
@@ -94,6 +97,10 @@ def main(argv: list[str] | None = None) -> int:
     if not a.store or a.command in ("scan", "update", "config", "query", "search", "deps", "callers", "inspect", "impact", "explore", "affected") and not a.words or a.command == "path" and len(a.words) < 2:
         print(parser.format_usage(), file=sys.stderr)
         return 3
+    if a.command == "install-hooks":  # <store> <project folder>
+        root = a.words[0] if a.words else "."
+        print(json.dumps(install_hooks(os.path.join(os.path.abspath(root), ".git"), os.path.abspath(root), a.store, a.force)))
+        return 0
     spark = SparkSession.builder.getOrCreate()
     store = SnapshotStore(spark, a.store)
     now = int(time.time() * 1000)

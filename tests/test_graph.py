@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import random
 import re
 
@@ -12,6 +13,7 @@ from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.operators.search_index import SearchIndex, indexed_search
 from graphloom.plans import shell
 from graphloom.sources import project
+from graphloom.sources.hooks import install_hooks
 from graphloom.sources.store import SnapshotStore
 from graphloom.sources.typescript import read_file
 from graphloom.streaming import observations
@@ -335,3 +337,29 @@ def test_imports_resolve_through_configurations(spark, tmp_path):
     got = {r["target"].split("pkg/")[1] for r in edges.filter("edge_type = 'imports'").collect()}
     assert got == {"lib/one.ts", "src/deep/d.ts", "src/b.ts"}
     assert edges.filter("edge_type = 'calls' and target like 'function:%one.ts:one'").count() == 1
+
+
+def test_hooks_are_installed_once_and_keep_others(tmp_path):
+    git = tmp_path / ".git"
+    (git / "hooks").mkdir(parents=True)
+    (git / "hooks" / "pre-commit").write_text("#!/bin/sh\necho own\n")
+    assert install_hooks(str(git), "/p", "/s") == {"pre-commit": "wrapped", "post-checkout": "created"}
+    assert install_hooks(str(git), "/p", "/s") == {"pre-commit": "updated", "post-checkout": "updated"}
+    assert "echo own" in (git / "hooks" / "pre-commit.backup").read_text() and "pre-commit.backup" in (git / "hooks" / "pre-commit").read_text()
+    assert os.access(git / "hooks" / "post-checkout", os.X_OK)
+    with pytest.raises(ValueError):
+        install_hooks(str(tmp_path) + "/../.git", "/p", "/s")
+
+
+def test_batches_merge_with_a_report(spark, tmp_path):
+    one = {"nodes": [{"id": "file:file:src/a.ts", "type": "file", "name": "a.ts", "filePath": "src/a.ts", "complexity": "low"}, {"id": "func:src/a.ts:f", "type": "function", "name": "f", "filePath": "src/a.ts", "complexity": "simple"}, {"id": "odd:1", "type": "odd", "name": "o", "filePath": "o", "complexity": "simple"}], "edges": [{"source": "file:file:src/a.ts", "target": "func:src/a.ts:f", "type": "contains", "weight": 0.4}, {"source": "file:src/a.ts", "target": "gone", "type": "calls"}]}
+    two = {"nodes": [{"id": "file:src/a.test.ts", "type": "file", "name": "a.test.ts", "filePath": "src/a.test.ts", "complexity": "complex"}], "edges": [{"source": "file:src/a.ts", "target": "function:src/a.ts:f", "type": "contains", "weight": 0.9}]}
+    (tmp_path / "batch-2.json").write_text(json.dumps(two))
+    (tmp_path / "batch-10.json").write_text(json.dumps(one))
+    (tmp_path / "batch-3.json").write_text("{bad")
+    nodes, edges, report = legacy.merge_batches(*project.read_batches(spark, str(tmp_path)))
+    assert {r["id"] for r in nodes.collect()} >= {"file:src/a.ts", "function:src/a.ts:f", "file:src/a.test.ts"}
+    assert {(r["source"], r["target"], r["edge_type"], r["weight"]) for r in edges.collect()} == {("file:src/a.ts", "function:src/a.ts:f", "contains", 0.9), ("file:src/a.ts", "file:src/a.test.ts", "tested_by", 0.5)}
+    told = {(r["section"], r["item"]): r["n"] for r in report.collect()}
+    assert told["input", "nodes"] == 4 and told["output", "edges"] == 2 and told["fixed", "id: double_prefix"] == 1 and told["fixed", "edges rewritten"] == 1
+    assert told["linked", "tested_by by path"] == 1 and told["unfixed", "edges without target"] == 1 and told["unfixed", "node type: odd"] == 1
