@@ -363,3 +363,9 @@ def test_batches_merge_with_a_report(spark, tmp_path):
     told = {(r["section"], r["item"]): r["n"] for r in report.collect()}
     assert told["input", "nodes"] == 4 and told["output", "edges"] == 2 and told["fixed", "id: double_prefix"] == 1 and told["fixed", "edges rewritten"] == 1
     assert told["linked", "tested_by by path"] == 1 and told["unfixed", "edges without target"] == 1 and told["unfixed", "node type: odd"] == 1
+
+
+def test_duplicate_nodes_by_scope_and_name(spark):
+    rows = [("function:/a.ts:f", "function", "f", "/a.ts"), ("function:/a.ts:f@9", "function", "f@9", "/a.ts"), ("function:/b.ts:f", "function", "f", "/b.ts"), ("param:/a.ts:f:x", "param", "x", "/a.ts"), ("param:/a.ts:g:x", "param", "x", "/a.ts"), ("class:*:f", "class", "f", ""), ("class:*:g", "class", "f", "")]
+    n = clean_nodes(spark.createDataFrame([(*r, 1, 1, None, None, None, None, None) for r in rows], NODES))
+    assert [tuple(r) for r in audit.duplicate_nodes(n).collect()] == [("function", "/a.ts", "f", 2, "function:/a.ts:f", "function:/a.ts:f@9")]
