@@ -56,13 +56,13 @@ def dependencies(nodes: DataFrame, edges: DataFrame, root: str, downstream: bool
     return _named(_union(levels), nodes)
 
 
-def callers(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1) -> DataFrame:
+def callers(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, from_package: str | None = None, to_package: str | None = None) -> DataFrame:
     """Who calls, imports or depends on root, as dependencies upstream.
 
     The first level keeps functions and files only, deeper levels any node; no path
     meets a node again.
     """
-    live = live_edges(nodes, edges.filter(F.col("edge_type").isin(CALLER_TYPES)))
+    live = live_edges(nodes, edges.filter(F.col("edge_type").isin(CALLER_TYPES)), from_package, to_package)
     kinds = nodes.filter(F.col("type").isin("function", "file")).select(F.col("id").alias("source"))
     first = live.filter(F.col("target") == root).join(kinds, "source", "left_semi")
     level = first.select(F.lit(1).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array("target", "source").alias("path"))

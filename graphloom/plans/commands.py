@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import audit, freshness, ingest, scan, stats, update
+from graphloom.operators import audit, explore, freshness, ingest, scan, search, stats, update
 from graphloom.operators.graph import clean_edges, clean_nodes
 from graphloom.operators.incremental import digest
 from graphloom.sources import project
@@ -83,3 +83,18 @@ def audit_store(store: SnapshotStore, root: str | None, docs: bool, include_inte
     texts = project.load_project(spark, where)
     documented = audit.documentation_issues(nodes, scan.declared_parameters(texts, nodes), include_internal) if docs else None
     return audit.audit_report(nodes, edges, texts, scan.stale_symbols(nodes, texts), documented).orderBy("check", "id", "detail")
+
+
+def explore_store(store: SnapshotStore, nodes: DataFrame, edges: DataFrame, keyword: str, node_type: str | None, root: str | None) -> DataFrame:
+    """The explore report of a store, with code and freshness from the project it was scanned from."""
+    spark = store.spark
+    known = store.read("meta").filter("key = 'graph'").first()
+    where = root or (json.loads(known["value"]).get("root") if known else None)
+    found = search.search(nodes, keyword, node_type).select(F.monotonically_increasing_id().alias("pos"), "id")  # a top list, in its order
+    matches = spark.createDataFrame([(n, r["id"]) for n, r in enumerate(found.collect())], "pos int, id string")
+    texts = project.load_project(spark, where) if where else spark.createDataFrame([], "path string, text string")
+    spelled = lambda df: df.select("path", digest(F.col("content_hash")).alias("digest"), "size", "modified_at")
+    stored = spelled(store.read("files"))
+    stale = freshness.stale_files(stored, spelled(project.file_records(spark, where, store.read("nodes"), 0))) if where else stored.select("path", F.lit("unknown").alias("reason"))
+    order = F.array_position(F.array(*map(F.lit, ["match", "relationship", "snippet", "stale"])), F.col("section"))
+    return explore.explore_report(nodes, edges, matches, texts, stale).orderBy(order, "id", "way", "pos")

@@ -140,7 +140,7 @@ def main(argv: list[str] | None = None) -> int:
         df = traverse.dependencies(nodes, edges, ids[0], a.downstream, a.depth or 1, a.from_package, a.to_package)
         df = df.orderBy("hops", "node_name", "edge_id") if (a.depth or 1) > 1 else df.orderBy("node_type", "node_name", "edge_id")
     elif command == "callers":
-        df = traverse.callers(nodes, edges, ids[0], a.depth or 1)
+        df = traverse.callers(nodes, edges, ids[0], a.depth or 1, a.from_package, a.to_package)
         df = df.orderBy("hops", "node_name", "edge_id") if (a.depth or 1) > 1 else df.orderBy("node_type", "node_name", "edge_id")
     elif command == "path":
         df = traverse.shortest_path(edges, ids[0], ids[1])
@@ -158,7 +158,7 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "audit":
         df = commands.audit_store(store, a.root, a.docs, a.include_internal)
     elif command == "explore":
-        df = traverse.explore_relationships(nodes, edges, search.search(nodes, words[0]))
+        df = commands.explore_store(store, nodes, edges, words[0], a.type, a.root)
     elif command == "affected":
         df = _affected.report(nodes, edges, spark.createDataFrame([(w,) for w in words], "path string"), a.depth or 3, a.tests_only, a.filter)
     else:

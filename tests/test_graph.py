@@ -288,6 +288,10 @@ def test_commands_scan_update_and_audit_a_project(spark, tmp_path, capsys):
     code, out = run("audit", store, "--docs", "--json")
     found = {(r["check"], r["detail"]) for r in json.loads(out)}
     assert code == 1 and {c for c, _ in found} >= {"missing_files", "stale_symbols", "documentation_issues"} and ("documentation_issues", "missing_param y") in found
+    code, out = run("explore", store, "add", "--json")
+    told = json.loads(out)
+    assert code == 0 and {r["section"] for r in told} == {"match", "relationship", "snippet"} and any("return x + y" in (r["value"] or "") for r in told if r["section"] == "snippet")
+    assert len({r["id"] for r in told if r["section"] == "snippet"}) == sum(r["section"] == "snippet" for r in told)
     code, out = run("stats", store)
     assert code == 0 and "nodes by type" in out and "most imported" in out
     code, out = run("impact", store, "add", "--json")
