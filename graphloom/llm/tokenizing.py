@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphloom.llm.batches import slices
@@ -39,9 +41,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str = BYTE_BPE_50K) -> Data
     def run(batches):
         words = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.decode(part.column("ids").to_pylist()), pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sizes = pc.fill_null(pc.list_value_length(part.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = words.decode_flat(sizes, pc.list_flatten(part.column("ids")).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 

@@ -102,6 +102,7 @@ class WordEncoder:
         rank = np.arange(len(pairs), dtype=np.int64)
         self._rank = {(a, b): i for i, (a, b) in enumerate(zip(left.tolist(), right.tolist()))}
         self._halves = {m: (a, b, i) for i, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
+        self._decodes = False
         self._db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._db.register("given", pa.table({"l": left, "r": right, "made": made, "rank": rank}))
         self._db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -274,14 +275,21 @@ class WordEncoder:
         return [sum([sizes[w] for w in ws]) for ws in words]
 
     def decode(self, rows: list[list[int] | None]) -> list[str]:
-        """The texts of id lists, put together by an ordered aggregation."""
-        sizes = np.array([len(r or ()) for r in rows])
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        tok = np.fromiter(chain.from_iterable(r or () for r in rows), np.int32, int(sizes.sum()))
+        """The texts of id lists."""
+        sizes = np.array([len(r or ()) for r in rows], np.int64)
+        return self.decode_flat(sizes, np.fromiter(chain.from_iterable(r or () for r in rows), np.int32, int(sizes.sum())))
+
+    def decode_flat(self, sizes: np.ndarray, tok: np.ndarray) -> list[str]:
+        """The texts of id lists laid end to end, put together by an ordered aggregation."""
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        if not self._decodes:  # each byte as the character of its number, so that pieces join as text
+            self._db.register("given", pa.table({"tok": pa.array(list(self.token_bytes), pa.int32()), "raw": pa.array([v.decode("latin-1") for v in self.token_bytes.values()])}))
+            self._db.execute("CREATE TABLE known AS SELECT * FROM given")
+            self._decodes = True
         self._db.register("coded", pa.table({"doc": doc, "pos": np.arange(len(tok), dtype=np.int64), "tok": tok}))
-        self._db.register("known", pa.table({"tok": pa.array(list(self.token_bytes), pa.int32()), "raw": pa.array([v.hex() for v in self.token_bytes.values()])}))
         found = dict(self._db.execute("SELECT doc, string_agg(raw, '' ORDER BY pos) FROM coded JOIN known USING (tok) GROUP BY doc").fetchall())
-        return [bytes.fromhex(found.get(i, "")).decode("utf-8", "replace") for i in range(len(rows))]
+        self._db.unregister("coded")
+        return [found.get(i, "").encode("latin-1").decode("utf-8", "replace") for i in range(len(sizes))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -66,3 +66,9 @@ def test_rows_nulls_and_empty_tables(spark, public):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in count_tokens(docs).collect()) == [(1, 2), (2, 0), (3, 0), (4, len(space)), (4, len(space))]
     assert encode_documents(docs.limit(0)).count() == 0
     assert {(r["doc_id"], r["text"]) for r in decode_documents(encode_documents(docs)).collect()} == {(1, "Hello world"), (2, ""), (3, ""), (4, "   ")}
+
+
+def test_every_character_comes_back():
+    texts = ["a\x00b", "\x00", "".join(map(chr, range(1, 400))), "\ud7ff\ue000\U0010ffff", ""]
+    encoder = WordEncoder(BYTE_BPE_50K)
+    assert encoder.decode(encoder.encode(texts)) == texts
