@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import workspace
+from graphloom.operators import traverse
 from graphloom.plans.star import star_edges, star_nodes
 from graphloom.sources.graph_store import GraphStore
 
@@ -61,3 +62,18 @@ def test_star_edges_know_their_ends_as_a_join_of_ids_finds_them(spark, tmp_path)
     assert sorted({tuple(map(str, r)) for r in known.select(*columns).collect()}) == sorted({tuple(map(str, r)) for r in expected.collect()})
     counts = {r["edge_id"]: r["count"] for r in known.groupBy("edge_id").count().collect()}
     assert counts[3_000_000_001] == 2 and counts[10_000_000_017] == 4 and counts[20_000_000_017] == 2
+
+
+def star(spark, n=MANY):
+    """From s to each node and from there to t."""
+    ids = spark.range(n).select("id", F.format_string("node:/w/node:%d", "id").alias("node"))
+    out = ids.select(F.col("id").alias("edge_id"), F.lit("s").alias("source"), F.col("node").alias("target"), F.lit("calls").alias("edge_type"))
+    return out.unionByName(ids.select((F.col("id") + n).alias("edge_id"), F.col("node").alias("source"), F.lit("t").alias("target"), F.lit("calls").alias("edge_type")))
+
+
+def test_many_nodes_of_a_level_are_not_broadcast_on_the_way_to_a_path(spark, saved):
+    edges = workspace.Scratch(spark, "t").save(star(spark), "given")
+    found = traverse.shortest_path(edges, "s", "t").first()
+    assert (found["hops"], found["path"]) == (2, ["s", "node:/w/node:0", "t"])
+    meeting = [plan for name, plan in saved if name == "both"][-1]
+    assert "SortMergeJoin" in meeting and "BroadcastHashJoin" not in meeting
