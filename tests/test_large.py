@@ -77,3 +77,11 @@ def test_many_nodes_of_a_level_are_not_broadcast_on_the_way_to_a_path(spark, sav
     assert (found["hops"], found["path"]) == (2, ["s", "node:/w/node:0", "t"])
     meeting = [plan for name, plan in saved if name == "both"][-1]
     assert "SortMergeJoin" in meeting and "BroadcastHashJoin" not in meeting
+
+
+def test_labels_of_a_path_do_not_broadcast_the_nodes(spark):
+    nodes = workspace.Scratch(spark, "t").save(numbered(spark), "given")
+    path = spark.createDataFrame([(2, ["node:/w/node:7", "nobody", "node:/w/node:299999"])], "hops int, path array<string>")
+    rows = traverse.path_labels(path, nodes)
+    assert "LeftSemi" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.select("pos", "label").collect())) == [(0, "node:n"), (1, "nobody"), (2, "node:n")]
