@@ -22,17 +22,18 @@ def _union(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def _grown(spark, level: DataFrame, depth: int, grow) -> list[DataFrame]:
-    """The levels of a traversal. Each is saved before the next grows from it, so that none
-    is computed twice and its known size decides how it meets the edges."""
-    scratch, levels = Scratch(spark, "levels"), [level]
-    for hop in range(2, depth + 1):
-        levels[-1] = scratch.save(levels[-1], "level")
-        levels.append(grow(levels[-1], hop))
-    return levels
-
-
-def _named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _grown(spark, level: DataFrame, depth: int, grow) -> tuple[DataFrame, int]:
+    """All levels of a traversal and their number of rows. Each is saved before the next grows
+    from it, so that none is computed twice and its rows decide how it meets the edges."""
+    scratch, levels, rows = Scratch(spark, "levels"), [], []
+    for hop in range(1, depth + 1):
+        levels.append(scratch.save(grow(by_size(levels[-1], rows[-1]), hop) if levels else level, "level"))
+        rows.append(levels[-1].count())
+    return _union(levels), sum(rows)
+
+
+def _named(found: tuple[DataFrame, int], nodes: DataFrame) -> DataFrame:
+    rows = by_size(*found)
     own = nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.col("name").alias("node_name"))
     return rows.join(own, "node_id").select("hops", "edge_id", "edge_type", "node_id", "node_type", "node_name", F.array_join("path", " -> ").alias("via"))
 
@@ -50,10 +51,10 @@ def dependencies(nodes: DataFrame, edges: DataFrame, root: str, downstream: bool
     first = step.filter(F.col("at") == root)
     guard = F.array("at", "next") if downstream else F.array("next", "at")
     level = first.select(F.lit(1).alias("hops"), "edge_id", "edge_type", F.col("next").alias("node_id"), F.array("at", "next").alias("path"), guard.alias("guard"))
-    levels = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path", "guard")
+    found = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path", "guard")
         .join(step, F.col("node_id") == F.col("at")).filter(~F.array_contains("guard", F.col("next")))
         .select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("next").alias("node_id"), F.array_append("path", F.col("next")).alias("path"), F.array_append("guard", F.col("next") if downstream else F.col("at")).alias("guard")))
-    return _named(_union(levels), nodes)
+    return _named(found, nodes)
 
 
 def callers(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, from_package: str | None = None, to_package: str | None = None) -> DataFrame:
@@ -67,10 +68,10 @@ def callers(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, from_
     first = live.filter(F.col("target") == root).join(kinds, "source", "left_semi")
     level = first.select(F.lit(1).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array("target", "source").alias("path"))
     step = live.select("edge_id", "edge_type", "source", "target")
-    levels = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path")
+    found = _grown(nodes.sparkSession, level, depth, lambda front, hop: front.select("node_id", "path")
         .join(step, F.col("node_id") == F.col("target")).filter(~F.array_contains("path", F.col("source")))
         .select(F.lit(hop).alias("hops"), "edge_id", "edge_type", F.col("source").alias("node_id"), F.array_append("path", F.col("source")).alias("path")))
-    return _named(_union(levels), nodes)
+    return _named(found, nodes)
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 20) -> DataFrame:

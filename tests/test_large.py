@@ -85,3 +85,14 @@ def test_labels_of_a_path_do_not_broadcast_the_nodes(spark):
     rows = traverse.path_labels(path, nodes)
     assert "LeftSemi" in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, rows.select("pos", "label").collect())) == [(0, "node:n"), (1, "nobody"), (2, "node:n")]
+
+
+@pytest.mark.parametrize(("downstream", "root", "n", "join", "never"), [(True, "node:/w/node:1", 2, "BuildLeft", "BuildRight"), (False, "t", 2 * MANY, "SortMergeJoin", "BroadcastHashJoin")])
+def test_names_of_dependencies_are_joined_by_the_number_of_their_rows(spark, downstream, root, n, join, never):
+    scratch = workspace.Scratch(spark, "t")
+    ends = spark.createDataFrame([("s", "node", "s", "/w", "pk"), ("t", "node", "t", "/w", "pk")], "id string, type string, name string, file_path string, package_id string")
+    store = GraphStore(spark, scratch.save(numbered(spark).unionByName(ends), "nodes"), scratch.save(star(spark), "edges"))
+    rows = traverse.dependencies(store.nodes, store.edges, root, downstream, 3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and never not in plan
+    assert rows.count() == n - downstream
