@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,23 @@ _OUT = "container_kind string, capacity int, shard bigint, island int, bin int,
 def _island(generations: int, population: int):
     """The step of one island: evolve its items from the packings that came to it, if any."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         # one row per item and packing; items in the order of their ids, packings in that of their islands
-        islands = np.unique(rows["island"].to_numpy())
         own = rows["island"].to_numpy()
+        islands = np.unique(own)
         order = np.lexsort((rows["item_id"].to_numpy(), own))
-        rows = rows.iloc[order]
-        items = rows.iloc[: len(rows) // len(islands)].reset_index(drop=True)
-        sizes, capacity, shard, home = items["tokens"].tolist(), int(items["capacity"].iat[0]), int(items["shard"].iat[0]), int(items["home"].iat[0])
+        items = rows.take(order[: len(order) // len(islands)])
+        sizes, (capacity, shard, home) = items["tokens"].to_pylist(), (items[c][0].as_py() for c in ("capacity", "shard", "home"))
         start = []
-        for bins in np.split(rows["bin"].to_numpy(), len(islands)):
+        for bins in np.split(rows["bin"].to_numpy()[order], len(islands)):
             if bins[0] >= 0:
                 members = np.argsort(bins, kind="stable")
                 start.append([m.tolist() for m in np.split(members, np.flatnonzero(np.diff(bins[members])) + 1)])
         best = evolve(sizes, capacity, start, shard * 31 + home, generations, max(population, len(start)))
         where = np.empty(len(items), np.int32)
-        for n, members in enumerate(best):
-            where[members] = n
-        items["bin"] = where
-        items["island"] = home
-        return items[[c.split()[0] for c in _OUT.split(", ")]]
+        where[list(chain.from_iterable(best))] = np.repeat(np.arange(len(best), dtype=np.int32), [len(members) for members in best])
+        new = {"bin": pa.array(where), "island": pa.array(np.full(len(items), home, np.int32))}
+        return pa.table({c: new[c] if c in new else items[c] for c in (c.split()[0] for c in _OUT.split(", "))})
 
     return run
 
@@ -96,7 +95,7 @@ def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str
         spread = F.pmod(F.xxhash64("item_id", F.lit(level)), count[F.col("container_kind")])
         seeds = loose.withColumn("shard", spread).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1))
         groups = ["container_kind", "capacity", "shard", "home"]
-        step = lambda rows, home: rows.withColumn("home", home).groupBy(*groups).applyInPandas(_island(generations, population), _OUT)
+        step = lambda rows, home: rows.withColumn("home", home).groupBy(*groups).applyInArrow(_island(generations, population), _OUT)
         elites = step(seeds.select(*cols), F.col("island"))
         for _ in range(migrations - 1):
             elites = step(elites, F.explode(F.array("island", (F.col("island") + 1) % islands)))

@@ -85,7 +85,7 @@ class WordEncoder:
     the same query, the seams of all words of a batch at once.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 2_000, longest: int = 32) -> None:
+    def __init__(self, vocabulary: str, keep: int = 400_000, chunk: int = 8_000, longest: int = 32) -> None:
         model = json.load(open(vocabulary))["model"]
         ids, byte = model["vocab"], _bytes_of_symbols()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -114,9 +114,12 @@ class WordEncoder:
     def pieces(self, word: str) -> list[str]:
         """The parts a word is put together from, itself if it is short and simple."""
         ascii_only = word.isascii()
-        parts = (_PARTS if ascii_only else _LETTERS).findall(word)
-        if sum(map(len, parts)) != len(word):
+        if ascii_only and not word[-1:].isalpha():  # digits and signs have no parts
             parts = [word]
+        else:
+            parts = (_PARTS if ascii_only else _LETTERS).findall(word)
+            if sum(map(len, parts)) != len(word):
+                parts = [word]
         if len(word) <= (self.longest if ascii_only else self.longest // 4):  # so many bytes at most
             return parts
         step = self.longest // 2 if ascii_only else self.longest // 8
@@ -183,8 +186,13 @@ class WordEncoder:
         words = raw
         out: list[tuple[int, ...]] = [()] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of one length need about as many rounds
-        for at in range(0, len(order), self.chunk):
-            some = order[at : at + self.chunk]
+        ends = np.cumsum([len(words[i]) for i in order])
+        at = 0
+        while at < len(order):
+            # every round of a query costs the same besides its rows, so a query takes many words; long ones by their bytes
+            most = (int(ends[at - 1]) if at else 0) + self.chunk * self.longest
+            until = max(at + 1, min(at + self.chunk, int(np.searchsorted(ends, most, "right"))))
+            some, at = order[at:until], until
             raw = [words[i] for i in some]
             sizes = np.array([len(r) for r in raw])
             wid = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
@@ -236,14 +244,14 @@ class WordEncoder:
             self._parts.clear()
         split = [self.pieces(w) for w in new]
         self._known(chain.from_iterable(split))
-        known, apart = self._parts, self._stay_apart
+        known, fits, apart = self._parts, self._fits, self._stay_apart
         ids, open_words, rows = self.ids, [], []
         for w, parts in zip(new, split):
             if len(parts) == 1:
                 ids[w] = known[parts[0]]
                 continue
             row = [known[p] for p in parts]
-            if all([apart(x[-1], y[0]) for x, y in zip(row, row[1:])]):
+            if all([fits[s] if (s := (x[-1], y[0])) in fits else apart(*s) for x, y in zip(row, row[1:])]):
                 ids[w] = tuple(chain.from_iterable(row))
             else:
                 open_words.append(w)
@@ -270,9 +278,11 @@ class WordEncoder:
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text."""
         words = [split_words(t) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(words)))
-        sizes = {w: len(self.ids[w]) for w in set(chain.from_iterable(words))}
-        return [sum([sizes[w] for w in ws]) for ws in words]
+        distinct = set(chain.from_iterable(words))
+        self.learn(distinct)
+        ids = self.ids
+        size_of = {w: len(ids[w]) for w in distinct}.__getitem__
+        return [sum(map(size_of, ws)) for ws in words]
 
     def decode(self, rows: list[list[int] | None]) -> list[str]:
         """The texts of id lists."""

@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from graphloom.llm.binpacking import best_fit, cross, evolve, tight_fit
-from graphloom.llm.packing import pack_documents, packing_report
+from graphloom.llm.packing import _island, pack_documents, packing_report
 
 
 def check(sizes, capacity, bins):
@@ -82,3 +84,16 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     kinds = spark.createDataFrame([("small", 4)], "container_kind string, capacity_tokens int")
     assert pack_documents(docs.limit(0), kinds).count() == 0 and pack_documents(docs, kinds.limit(0)).count() == 0
+
+
+def test_an_island_takes_and_gives_arrow_tables():
+    rng = random.Random(5)
+    tokens = [rng.randint(1, 90) for _ in range(50)]
+    rows = [{"container_kind": "k", "capacity": 100, "shard": 3, "home": 1, "island": i, "item_id": 7 * n, "doc_id": n, "part": 0, "tokens": t, "bin": n} for n, t in enumerate(tokens) for i in (0, 1)]
+    rng.shuffle(rows)
+    out = _island(3, 4)(pa.Table.from_pylist(rows)).to_pylist()
+    assert [(r["item_id"], r["doc_id"], r["tokens"], r["island"]) for r in out] == [(7 * n, n, t, 1) for n, t in enumerate(tokens)]
+    used = Counter()
+    for r in out:
+        used[r["bin"]] += r["tokens"]
+    assert max(used.values()) <= 100 and sorted(used) == list(range(len(used))) and len(used) < 50

@@ -72,3 +72,19 @@ def test_every_character_comes_back():
     texts = ["a\x00b", "\x00", "".join(map(chr, range(1, 400))), "\ud7ff\ue000\U0010ffff", ""]
     encoder = WordEncoder(BYTE_BPE_50K)
     assert encoder.decode(encoder.encode(texts)) == texts
+
+
+def test_a_query_takes_many_short_words_and_few_bytes(public):
+    encoder, asked = WordEncoder(BYTE_BPE_50K), []
+
+    class Counting:
+        def __init__(self, db):
+            self.register, self.unregister = db.register, db.unregister
+            self.execute = lambda sql: asked.append(sql) or db.execute(sql)
+
+    encoder._db = Counting(encoder._db)
+    numbers = [str(n) for n in range(100_000, 106_000)]
+    assert encoder.encode(numbers) == public(numbers) and len(asked) == 1
+    asked.clear()
+    long = [bytes([65 + n % 26]) * 20_000 for n in range(26)]  # together more bytes than one query takes
+    assert [b"".join(encoder.token_bytes[t] for t in row) for row in encoder.contract(long)] == long and len(asked) == 3
